@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import linededup
+from millrace.llm import linededup, mixing, packing
 
 MODULES = {
     "op6_line_dedup": linededup,
+    "op8_mix_sources": mixing,
+    "op9_pack": packing,
 }
 
 
