@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import linededup, mixing, packing
+from millrace.llm import linededup, mixing, packing, pii
 
 MODULES = {
+    "op1_pii": pii,
     "op6_line_dedup": linededup,
     "op8_mix_sources": mixing,
     "op9_pack": packing,
