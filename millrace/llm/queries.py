@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import linededup, mixing, packing, pii
+from millrace.llm import langid, linededup, mixing, packing, pii, quality
 
 MODULES = {
     "op1_pii": pii,
+    "op5_language": langid,
     "op6_line_dedup": linededup,
     "op8_mix_sources": mixing,
     "op9_pack": packing,
+    "op10_quality": quality,
 }
 
 
