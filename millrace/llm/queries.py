@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import langid, linededup, mixing, packing, pii, quality
+from millrace.llm import hmm, langid, linededup, mixing, packing, pii, quality
 
 MODULES = {
     "op1_pii": pii,
+    "op4_hmm": hmm,
     "op5_language": langid,
     "op6_line_dedup": linededup,
     "op8_mix_sources": mixing,
