@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import hmm, jaccard, langid, linededup, mixing, packing, pii, quality
+from millrace.llm import ann, hmm, jaccard, langid, linededup, mixing, packing, pii, quality
 
 MODULES = {
     "op1_pii": pii,
+    "op2_nearest": ann,
     "op3_jaccard": jaccard,
     "op4_hmm": hmm,
     "op5_language": langid,
