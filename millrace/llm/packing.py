@@ -23,16 +23,17 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import batches, only, read
 
-SEQ, BLOCK, LINEAR, QUADRATIC, REMEMBER = 1024, 1 << 20, 1.0, 1.0 / 1024, 800_000
+SEQ, BLOCK, LINEAR, QUADRATIC, REMEMBER = 1024, 1 << 20, 1.0, 1.0 / 1024, 1_500_000
+MARKS = ".,;:!?%&*$#|)"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,19 +53,26 @@ class Ids:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.feed = self.encode(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Letters and the marks that follow them are pieces of their own, so each is tokenized once."""
         if len(known) > self.remember:
             known.clear()
         new = [w for w in words.difference(known) if len(w.split()) == 1 and w.strip() == w]
         for x in self.special:
             new = [w for w in new if x not in w]
-        known.update(zip(new, self.encode([lead + w for w in new]), strict=True))
+        cores = [w.rstrip(MARKS) for w in new]
+        ends = [len(c) if c.isalpha() else len(w) for w, c in zip(new, cores, strict=True)]
+        plain = list({w[:n] for w, n in zip(new, ends, strict=True)}.difference(known))
+        known.update(zip(plain, self.encode([lead + w for w in plain]), strict=True))
+        marks = list({w[n:] for w, n in zip(new, ends, strict=True)}.difference(self.marks))
+        self.marks.update(zip(marks, self.encode(marks), strict=True))
+        known.update((w, known[w[:n]] + self.marks[w[n:]]) for w, n in zip(new, ends, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [[line.split(" ") for line in t.split("\n")] for t in texts]
