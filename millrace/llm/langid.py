@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from millrace.llm.common import batches, held_out, only, read, stash
 
@@ -38,7 +39,6 @@ LONGEST, PIECE, ROUNDS, ALPHA, UNKNOWN, REMEMBER, AT_ONCE = 24, 12, 3, 0.01, 1e-
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 UNDECIDED = "und"
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,20 +252,21 @@ def memory(model: str, langs: int) -> tuple[dict, list]:
     return {}, [np.zeros((0, langs))]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: doc_id, held_out, text."""
+def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
+    """lang_pred, score of documents with a column text, after the columns to carry."""
     name = uuid.uuid4().hex
 
     def run(source):
         known, rows = memory(name, len(model.langs))
         for batch in batches(source, 128):
-            said = model.predict([t or "" for t in batch.column(2).to_pylist()], known, rows)
-            columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+            said = model.predict([t or "" for t in batch.column(0).to_pylist()], known, rows)
+            columns = [*batch.columns[1:], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
+    said = StructType([*(docs.schema[c] for c in carry), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(run, said)
 
 
 def query(spark, sf_dir):
     docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", lang="lang", text="text").withColumn("held_out", held_out("doc_id", 4, 2))
-    return predict(docs, fit(docs.filter("NOT held_out")))
+    return predict(docs, fit(docs.filter("NOT held_out")), "doc_id", "held_out")

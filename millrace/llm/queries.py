@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, hmm, jaccard, langid, linededup, mixing, packing, pii, quality
+from millrace.llm import ann, hmm, jaccard, langid, linededup, media, mixing, packing, pii, quality
 
 MODULES = {
     "op1_pii": pii,
@@ -11,6 +11,7 @@ MODULES = {
     "op4_hmm": hmm,
     "op5_language": langid,
     "op6_line_dedup": linededup,
+    "op7_image_copies": media,
     "op8_mix_sources": mixing,
     "op9_pack": packing,
     "op10_quality": quality,
