@@ -18,18 +18,21 @@ def live_patterns(changes: DataFrame) -> DataFrame:
 
 
 def match(sends: DataFrame, patterns: DataFrame, topic: str = "topic", pattern: str = "pattern") -> DataFrame:
-    """sends by every distinct valid pattern that matches, each once, as column ``pattern``. A valid topic's
-    candidate patterns are joined by equality; only topics of over DEEPEST segments are compared one by one."""
+    """sends by every distinct valid pattern that matches, each once, as column ``pattern``. Each distinct topic is
+    matched once: its candidate patterns are joined by equality; only topics of over DEEPEST segments are compared
+    one by one."""
     known = patterns.filter(paths.pattern_error(F.col(pattern)).isNull()).select(paths.canonical(F.col(pattern)).alias("__p")).distinct()
-    valid = sends.filter(paths.topic_error(F.col(topic)).isNull())
-    deep = F.size(paths.segments(F.col(topic))) > DEEPEST
-    near = valid.filter(~deep).withColumn("__key", F.explode(paths.candidate_keys(F.col(topic))))
+    distinct = sends.select(F.col(topic).alias("__topic")).distinct()
+    valid = distinct.filter(paths.topic_error(F.col("__topic")).isNull())
+    deep = F.size(paths.segments(F.col("__topic"))) > DEEPEST
+    near = valid.filter(~deep).withColumn("__key", F.explode(paths.candidate_keys(F.col("__topic"))))
     near = near.join(known, F.col("__key") == F.col("__p")).drop("__key")
     roots = known.withColumn("__root", F.element_at(paths.segments(F.col("__p")), 1))
-    first = F.element_at(paths.segments(F.col(topic)), 1)
+    first = F.element_at(paths.segments(F.col("__topic")), 1)
     far = valid.filter(deep).withColumn("__first", F.explode(F.array(first, F.lit("*"), F.lit("**"))))
-    far = far.join(roots, F.col("__first") == F.col("__root")).filter(paths.matches(F.col(topic), F.col("__p"))).drop("__first", "__root")
-    return near.unionByName(far).withColumnRenamed("__p", "pattern")
+    far = far.join(roots, F.col("__first") == F.col("__root")).filter(paths.matches(F.col("__topic"), F.col("__p"))).drop("__first", "__root")
+    pairs = near.unionByName(far)
+    return sends.join(pairs, F.col(topic) == F.col("__topic")).drop("__topic").withColumnRenamed("__p", "pattern")
 
 
 def deliver(matched: DataFrame, subscriptions: DataFrame, seq: str = "seq") -> DataFrame:
