@@ -64,29 +64,29 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The most frequent words, the classes, and how many tokens and words each rare class has."""
 
-    def __init__(self, words: list[tuple[str, int]], tokens: int, distinct: int, rare: dict[int, tuple[int, int]]):
+    def __init__(self, words: list[tuple[str, int]], tokens: int, distinct: int, rare: dict[int, tuple[int, int]], own: int = OWN):
+        self.own = own
         words = sorted((x for x in words if x[0] != END), key=lambda x: (-x[1], x[0]))
         self.total, self.distinct = tokens, distinct
         self.index = {w.encode(): i for i, (w, _) in enumerate(words)}
         self.c = np.array([c for _, c in words], dtype=np.int64)
-        self.classes = np.array([1 + i if i < OWN else self.rare_class(w.encode()) for i, (w, _) in enumerate(words)], dtype=np.int32)
+        self.classes = np.array([1 + i if i < own else self.rare_class(w.encode()) for i, (w, _) in enumerate(words)], dtype=np.int32)
         self.n, self.v = np.zeros(RARE), np.zeros(RARE)
         for k, (n, v) in rare.items():
             self.n[k], self.v[k] = n, v
-        for w, c in words[:OWN]:
+        for w, c in words[:own]:
             self.n[zlib.crc32(w.encode()) % RARE] -= c
             self.v[zlib.crc32(w.encode()) % RARE] -= 1
-        emit = np.log10((self.c + 1) / (self.n + self.v + 1)[np.maximum(self.classes - 1 - OWN, 0)])
-        self.emit = np.where(self.classes <= OWN, 0.0, emit)
+        emit = np.log10((self.c + 1) / (self.n + self.v + 1)[np.maximum(self.classes - 1 - own, 0)])
+        self.emit = np.where(self.classes <= own, 0.0, emit)
         self.base = np.log10((self.c + 1) / self.whole)
 
     @property
     def whole(self) -> int:
         return self.total + self.distinct + 1
 
-    @staticmethod
-    def rare_class(word: bytes) -> int:
-        return 1 + OWN + zlib.crc32(word) % RARE
+    def rare_class(self, word: bytes) -> int:
+        return 1 + self.own + zlib.crc32(word) % RARE
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
@@ -103,13 +103,13 @@ class Vocabulary:
         return out
 
 
-def learn_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
+def learn_vocabulary(counts: DataFrame, top: int = TOP, own: int = OWN) -> tuple[Vocabulary, int]:
     """counts: word, c, stashed. Also how often the end stands."""
     of = F.crc32(F.col("word").cast("binary")) % RARE
     level = F.floor(F.log2("c") * 8)
     rows = counts.groupBy(of.alias("of"), (F.col("word") == END).alias("end")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     short = counts.filter((F.col("word") != END) & (F.octet_length("word") <= LONG))
-    room, least = TOP, None
+    room, least = top, None
     for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["level"]):
         room -= r["v"]
         if room < 0:
@@ -118,7 +118,7 @@ def learn_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     words = [] if least is None else [(r["word"], r["c"]) for r in short.filter(level >= least).select("word", "c").collect()]
     rare = {r["of"]: (r["n"], r["v"]) for r in rows if not r["end"]}
     ends = sum(r["n"] for r in rows if r["end"])
-    return Vocabulary(words, sum(r["n"] for r in rows), sum(r["v"] for r in rows), rare), ends
+    return Vocabulary(words, sum(r["n"] for r in rows), sum(r["v"] for r in rows), rare, own), ends
 
 
 class Lanes:
@@ -219,10 +219,11 @@ def together(source, column: int, vocabulary: Vocabulary):
 
 def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, shards: int = SHARDS) -> Model:
     """docs: doc_id, text, only those that may teach."""
-    unigrams = np.zeros(1 + OWN + RARE)
+    own = vocabulary.own
+    unigrams = np.zeros(1 + own + RARE)
     unigrams[0] = ends
-    np.add.at(unigrams, vocabulary.classes[:OWN], vocabulary.c[:OWN])
-    unigrams[1 + OWN :] = vocabulary.n
+    np.add.at(unigrams, vocabulary.classes[:own], vocabulary.c[:own])
+    unigrams[1 + own :] = vocabulary.n
     unigrams = (unigrams + 1) / (unigrams + 1).sum()
     model, sc = Model.begin(unigrams), docs.sparkSession.sparkContext
     shared, kept = sc.broadcast(vocabulary), None
@@ -307,11 +308,11 @@ NAMES = [x.split()[0] for x in HEAD.split(", ")]
 TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
-def score_all(docs: DataFrame) -> DataFrame:
+def score_all(docs: DataFrame, top: int = TOP, own: int = OWN) -> DataFrame:
     """docs: doc_id, held_out, text; learns from those not held out."""
     teach = docs.filter("NOT held_out")
     counts = stash(count_tokens(teach))
-    vocabulary, ends = learn_vocabulary(counts)
+    vocabulary, ends = learn_vocabulary(counts, top, own)
     return score(docs, counts, vocabulary, ends, train(teach, vocabulary, ends))
 
 

@@ -1,0 +1,57 @@
+import numpy as np
+import pytest
+from millrace.llm import ann
+from pyspark.sql import functions as F
+
+
+def brute(ids, x, k=5):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[i]
+        near = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [int(ids[j]) for j in near]
+    return out
+
+
+def frame(spark, ids, x):
+    return spark.createDataFrame([(int(i), [float(e) for e in v], 1) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<float>, rank int")
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall(spark, clustered, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_SHARD", 300)  # several shards
+    r = np.random.default_rng(0)
+    x = r.normal(size=(1500, 32)) + (5 * r.normal(size=(10, 32))[r.integers(0, 10, 1500)] if clustered else 0)
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(1500)
+    got: dict = {}
+    for row in ann.nearest(frame(spark, ids, x).select("vec_id", "v"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+        u, v = x[row.query_id], x[row.vec_id]
+        assert abs(row.score - u @ v / np.sqrt(u @ u) / np.sqrt(v @ v)) < 1e-12
+    want = brute(ids, x)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.95
+
+
+def test_ties_few_rows_and_rows_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (7, [2.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0]), (50, [3.0, 0.0]), (8, None), (9, [0.0, 0.0]), (10, [nan, 1.0]), (11, [inf, 1.0]), (12, [None, 1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (150, [])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 3), (0, 7), (0, 50), (0, 5), (50, 0), (50, 3), (50, 7), (50, 5)]
+    assert [r.rank for r in got] == [1, 2, 3, 4] * 2 and got[0].score == 1.0 and got[3].score == 0.0
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pigeonhole_finds_every_code_in_the_radius():
+    r = np.random.default_rng(1)
+    codes = r.integers(0, 1 << 16, (4000, 4)).astype(np.uint16)
+    near = codes[0] ^ np.array([1, 0, 3, 0], np.uint16)
+    codes[17] = near
+    shard = ann.Shard(codes)
+    for radius in (0, 1, 3, 5, 14, 26, 64):
+        true = np.flatnonzero(ann.ONES[codes ^ codes[0]].sum(axis=1) <= radius)
+        assert shard.within(codes[0], radius).tolist() == true.tolist()
