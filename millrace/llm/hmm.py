@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import batches, held_out, only, read, stash, texts
 
 STATES, OWN, RARE, TOP, LONG, SHARDS, KEEP, SEED = 8, 8192, 4096, 200_000, 64, 5, 0.5, 7
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 END = ""
 
 
