@@ -88,7 +88,7 @@ def grey(data: bytes | None) -> np.ndarray | None:
 
 def resize(x: np.ndarray, scale: float) -> np.ndarray:
     h, w = (max(1, int(n * scale)) for n in x.shape)
-    at = [np.clip((np.arange(n) + 0.5) / scale - 0.5, 0, m - 1) for n, m in ((h, x.shape[0]), (w, x.shape[1]))]
+    at = [np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in ((h, x.shape[0]), (w, x.shape[1]))]
     low = [np.floor(a).astype(int) for a in at]
     high = [np.minimum(i + 1, m - 1) for i, m in zip(low, x.shape, strict=True)]
     fy, fx = (at[0] - low[0])[:, None], (at[1] - low[1])[None]
@@ -145,10 +145,11 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         patch = small[i + disc[:, 0], j + disc[:, 1]]
         weight = patch - patch.mean()
         angle = float(np.arctan2(weight @ disc[:, 0], weight @ disc[:, 1]))
-        turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])  # on (row, column)
         a, b = (np.rint(np.array([i, j]) + t @ turn).astype(int) for t in (first, second))
-        bits.append(small[a[:, 0], a[:, 1]] < small[b[:, 0], b[:, 1]])
-        places.append(((j + 0.5) / scale, (i + 0.5) / scale, angle, scale))
+        bits.append(small[a[:, 0], a[:, 1]] + 0.05 * patch.std() < small[b[:, 0], b[:, 1]])  # flat parts give 0, not noise
+        h, w = x.shape[0] / small.shape[0], x.shape[1] / small.shape[1]
+        places.append(((j + 0.5) * w, (i + 0.5) * h, angle, scale))
     if not bits:
         return np.empty((0, 4)), np.empty((0, TABLES), np.int64)
     return np.array(places), np.packbits(np.array(bits), axis=1).view(">u4").astype(np.int64)
