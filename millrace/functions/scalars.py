@@ -63,3 +63,8 @@ def reverse_bytes(b: Column) -> Column:
 def trim_space(text: Column) -> Column:
     """Without any white space at the ends, also beyond ASCII."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def as_json(*columns: str) -> Column:
+    """The data columns of a request as one JSON text."""
+    return F.to_json(F.struct(*columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,9 @@ def in_flight(df: DataFrame, submit: str, exit_: str, width: str) -> DataFrame:
     sums = steps.groupBy("begin").agg(F.sum("n").alias("n"))
     w = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)  # one row a window of time
     return sums.select("begin", F.sum("n").over(w).alias("running"))
+
+
+def observed(df: DataFrame, name: str, err: str = "err"):
+    """(df, observation): counts of rows and errors, taken while df is written and not by a pass of its own."""
+    o = Observation(name)
+    return df.observe(o, F.count("*").alias("rows"), F.count(err).alias("errors")), o

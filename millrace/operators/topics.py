@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import paths
+from millrace.functions import errors, paths
 
 #: Deeper topics are matched pattern by pattern: their candidate keys would be too many.
 DEEPEST = 8
@@ -42,6 +42,12 @@ def deliver(matched: DataFrame, subscriptions: DataFrame, seq: str = "seq") -> D
     return matched.join(subs, (F.col("pattern") == F.col("__p")) & inside).drop("__p", "start_idx", "end_idx")
 
 
+def send_errors(sends: DataFrame, closed_at: int | None, topic: str = "topic", seq: str = "seq") -> DataFrame:
+    """err of each send: closed from that point on, whatever the topic; else what is wrong with the topic."""
+    shut = F.lit(False) if closed_at is None else F.col(seq) >= closed_at
+    return sends.withColumn("err", F.coalesce(errors.when(shut, "closed", "the subscriber is closed"), paths.topic_error(F.col(topic))))
+
+
 def metrics(sends: DataFrame, patterns: DataFrame, key: str = "seq", topic: str = "topic") -> DataFrame:
     """One row: sends (valid ones), matches (distinct patterns matched), unmatched, topics (live patterns)."""
     valid = sends.filter(paths.topic_error(F.col(topic)).isNull())

@@ -49,6 +49,12 @@ class Pipeline:
         if self.max_hops is not None and self.max_hops < 1:
             raise ValueError("max_hops must be at least 1")
 
+    def workers(self, num: int, substages: int = 0) -> int:
+        """How many tasks at a time the pipeline asks for: num whole pipelines, a worker a stage."""
+        if num < 1 or substages < 0:
+            raise ValueError("num must be at least 1 and substages not negative")
+        return num * (len(self.stages) + substages)
+
     def run(self, df: DataFrame, group: str | None = None, pos: str | None = None) -> DataFrame:
         """df with the envelope after the walk; with group and pos, in submit order within each group."""
         df = df.withColumns({"next_stage": F.lit(self.start), "err": errors.none(), "visited": F.array().cast("array<string>"), "hops": F.lit(0)})

@@ -588,3 +588,19 @@ def stream_windows(spark, d):
     q = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(made[-1]) if made else spark.createDataFrame([], stream.schema)
+
+
+@query("q56_stream_sessions", f"SELECT user_id, event_id, session, row_number() OVER (PARTITION BY user_id, session ORDER BY event_id) - 1 AS seq FROM ({SESSION_SQL})")
+def stream_sessions(spark, d):
+    stream = processors.read_table(spark, d, "events")
+    return processors.drain(processors.sessions(stream, "user_id", "ts", "event_id", 6 * 3600.0), folder(spark))
+
+
+@query(
+    "q57_send_errors",
+    "SELECT seq, CASE WHEN seq >= 5000 THEN 'closed' WHEN topic LIKE '%*%' OR topic LIKE '%/' THEN 'invalid_path' END AS err_kind, CASE WHEN seq >= 5000 OR topic LIKE '%*%' OR topic LIKE '%/' THEN true END AS err_permanent FROM (SELECT event_id AS seq, event_type || CASE event_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/*' ELSE '/x' END AS topic FROM events)",
+)
+def send_errors(spark, d):
+    end = F.when(F.col("event_id") % 5 == 0, "/").when(F.col("event_id") % 5 == 1, "/*").otherwise("/x")
+    s = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat("event_type", end).alias("topic"))
+    return flat(topics.send_errors(s, 5000)).select("seq", "err_kind", "err_permanent")

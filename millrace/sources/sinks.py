@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -33,6 +34,31 @@ def for_each(df: DataFrame, worker: Callable, size: int) -> None:
     df.coalesce(size).foreachPartition(each)
 
 
+def retry(action: Callable, attempts: int, permanent: Callable[[Exception], bool] = lambda e: False, pause: Callable[[int], float] = lambda n: min(60.0, 0.1 * 2**n)):
+    """action()'s result, tried again with growing pauses; a permanent error is raised at once."""
+    if attempts < 1:
+        raise ValueError("attempts must be at least 1")
+    for n in range(attempts):
+        try:
+            return action()
+        except Exception as e:  # noqa: BLE001
+            if permanent(e) or n + 1 == attempts:
+                raise
+            time.sleep(pause(n))
+
+
+def reset_table(spark: SparkSession, name: str, schema: str) -> None:
+    """Drops the table and makes it anew, empty; doing so twice is the same."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.createDataFrame([], schema).write.mode("overwrite").format("parquet").saveAsTable(name)
+
+
+def insert(df: DataFrame, name: str) -> None:
+    """Appends by column name; columns that the table doesn't have are left out."""
+    known = df.sparkSession.table(name).columns
+    df.select(*known).write.mode("append").format("parquet").insertInto(name)
+
+
 def write_batches(df: DataFrame, url: str, table: str, properties: dict, rows: int = 100_000) -> None:
     df.write.option("batchsize", rows).jdbc(url, table, mode="append", properties=properties)
 

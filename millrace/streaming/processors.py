@@ -36,6 +36,26 @@ def sequence(stream: DataFrame, key: str, pos: str) -> DataFrame:
     return stream.select(key, pos).groupBy(key).applyInPandasWithState(step, out, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def sessions(stream: DataFrame, key: str, ts: str, pos: str, idle_seconds: float) -> DataFrame:
+    """key, pos, session, seq: a key's state starts anew where it was idle for longer, by event time."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, n, last = state.get if state.exists else (0, 0, None)
+        rows = pd.concat(list(frames)).sort_values([ts, pos])
+        out = []
+        for at, p in zip(rows[ts].astype("datetime64[us]").astype("int64") / 1e6, rows[pos], strict=True):
+            if last is not None and at - last > idle_seconds:
+                session, n = session + 1, 0
+            out.append((k[0], p, session, n))
+            n, last = n + 1, at
+        state.update((session, n, last))
+        yield pd.DataFrame(out, columns=[key, pos, "session", "seq"])
+
+    kinds = dict(stream.dtypes)
+    out = f"{key} {kinds[key]}, {pos} {kinds[pos]}, session long, seq long"
+    return stream.select(key, ts, pos).groupBy(key).applyInPandasWithState(step, out, "session long, n long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
     """key, begin, n by event-time windows; rows later than the watermark are left out."""
     timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)

@@ -258,3 +258,46 @@ def test_fold_streams_keys_in_order(spark):
     df = spark.createDataFrame(random.Random(0).sample(rows, len(rows)), "k string, pos long")
     got = keyed.fold(df, "k", "pos", lambda n, r: (n + 1, [(r.k, r.pos, n)]), int, "k string, pos long, n long").collect()
     assert all(r.pos == r.n for r in got) and len(got) == 600
+
+
+def test_retry():
+    calls: list = []
+
+    def act():
+        calls.append(1)
+        raise OSError("down")
+
+    for attempts, permanent, want in ((3, False, 3), (3, True, 1)):
+        calls.clear()
+        with pytest.raises(OSError):
+            sinks.retry(act, attempts, lambda e, p=permanent: p, lambda n: 0.0)
+        assert len(calls) == want
+    assert sinks.retry(lambda: 5, 1) == 5
+
+
+def test_closed_comes_before_a_bad_path(spark):
+    sends = spark.createDataFrame([(0, "a"), (1, "a/"), (2, "a"), (3, "a/")], "seq long, topic string")
+    got = [r.err and r.err.kind for r in topics.send_errors(sends, 2).orderBy("seq").collect()]
+    assert got == [None, "invalid_path", "closed", "closed"]
+    assert [r.err and r.err.kind for r in topics.send_errors(sends, None).orderBy("seq").collect()] == [None, "invalid_path", None, "invalid_path"]
+
+
+def test_table_reset_and_insert(spark, tmp_path):
+    schema = "a long, b string"
+    for _ in range(2):
+        sinks.reset_table(spark, "millrace_test", schema)
+        sinks.insert(spark.createDataFrame([("x", 9, 1)], "b string, extra long, a long"), "millrace_test")
+    assert [tuple(r) for r in spark.table("millrace_test").collect()] == [(1, "x")]
+    spark.sql("DROP TABLE millrace_test")
+
+
+def test_workers_json_and_observation(spark):
+    assert Pipeline([Stage("a"), Stage("b")], "a").workers(3, 1) == 9
+    with pytest.raises(ValueError):
+        Pipeline([Stage("a")], "a").workers(0)
+    from millrace.functions import scalars
+
+    df = results.item(positions(spark, [1, 2]), F.col("v"), errors.when(F.col("v") == 2, "user", "no"))
+    watched, o = stats.observed(df, "run")
+    assert watched.select(scalars.as_json("pos").alias("j"), "err").collect()[0].j == '{"pos":0}'
+    assert o.get == {"rows": 2, "errors": 1}
