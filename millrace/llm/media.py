@@ -5,14 +5,17 @@ image; each is turned by the direction to its patch's centroid and described by
 pixel pairs. Brightness and contrast leave the comparisons alone, a crop leaves the patches inside it alone.
 
 Join: a descriptor is cut into 8 substrings of 32 bits, each a Hamming table; two descriptors within 7 bits
-share one for certain, farther ones often. In a table, all that share a value are tied to the one of the
-smallest image and to none other, so a value that a third of the features have costs one row a feature.
-Image pairs with at least VOTES tied features go on to geometric consensus: each tie proposes a similarity
-(turn, scale, shift) and the pair is a copy if at least INLIERS distinct features agree with the best one
-within TOLERANCE pixels. Verified ties, joined, are the groups.
+share one for certain, farther ones often. A table is put in order by the substring and the one after it, and
+a feature is tied to the NEAR features before it that share the substring and differ in at most BITS bits of
+the next: rows that grow with the features, however many share a value. Image pairs with at least VOTES tied
+features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift) and the pair is a
+copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels. Verified ties,
+joined, are the groups.
 
 Plan: exact copies of the bytes are folded by digest first, with partial aggregation. Features are found in
-one pass; the join's two shuffles are on (table, value), then on the image pair.
+one pass and written, 8 longs each. The tables are dealt by range, so a value that a third of the features
+have is spread over tasks; at a range's edge some ties are not made, a few of millions, and 8 tables stand in
+for each other. Only ties that pass the bits are shuffled to their image pair.
 
 Media: binary PGM and PPM (P5, P6, 8 bits), and PNG of 8 bits without interlace, grey, RGB, with or without
 alpha. Cases: null, empty or unreadable media and images without corners are groups of their own with 0
@@ -37,7 +40,7 @@ from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
 FEATURES, SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SEED = 32, (1.0, 2**-0.5, 0.5), 12, 4, 6, 3.0, 5
-TABLES = 8
+TABLES, NEAR, BITS = 8, 3, 8
 
 
 def png(data: bytes) -> np.ndarray | None:
@@ -167,50 +170,89 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int
     return best
 
 
+def folded(places: np.ndarray) -> np.ndarray:
+    """A place in one integer: x and y in eighths of a pixel, the angle in 2^16 parts of a turn, the level."""
+    x, y = (np.clip(np.rint(places[:, k] * 8), 0, (1 << 20) - 1).astype(np.int64) for k in (0, 1))
+    angle = np.rint((places[:, 2] % (2 * np.pi)) / (2 * np.pi) * 65536).astype(np.int64) % 65536
+    level = np.array([SCALES.index(v) for v in places[:, 3]], dtype=np.int64)
+    return x << 40 | y << 20 | angle << 4 | level
+
+
+def unfolded(place: np.ndarray) -> np.ndarray:
+    scale = np.array(SCALES)[place & 15]
+    return np.stack([(place >> 40) / 8, (place >> 20 & ((1 << 20) - 1)) / 8, (place >> 4 & 65535) * (2 * np.pi / 65536), scale], axis=1)
+
+
 def describe(media: DataFrame) -> DataFrame:
-    """image (a digest of the bytes), place, table, value; one row a feature and table."""
+    """image, place, words: one row a feature of images with columns image (a number of theirs) and data."""
 
     def run(source):
         for batch in batches(source, 128):
-            out = []
+            images, places, words = [], [np.empty(0, np.int64)], []
             for image, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = grey(data)
-                places, words = features(x) if x is not None else ([], [])
-                for p, w in zip(places, words, strict=True):
-                    out += [(image, p.tolist(), t, v) for t, v in enumerate(w.tolist())]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["image", "place", "table", "value"])
+                if x is not None and len((found := features(x))[0]):
+                    images += [image] * len(found[0])
+                    places.append(folded(found[0]))
+                    words += found[1].tolist()
+            columns = [pa.array(images, pa.int64()), pa.array(np.concatenate(places)), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["image", "place", "words"])
 
-    return media.mapInArrow(run, "image binary, place array<double>, table int, value long")
+    return media.mapInArrow(run, "image long, place long, words array<long>")
+
+
+def tie(rows: DataFrame) -> DataFrame:
+    """a, b, there, place: features of two images that are near in some table."""
+    word = lambda t: F.element_at("words", t % TABLES + 1)
+    keys = F.array(*(F.struct(F.lit(t).alias("table"), (F.shiftleft(word(t) - (1 << 31), 32) + word(t + 1)).alias("key")) for t in range(TABLES)))
+    tables = rows.select("image", "place", F.explode(keys).alias("k")).select("k.table", "k.key", "image", "place")
+
+    def run(source):
+        last = np.empty((4, 0), np.int64)
+        for batch in source:
+            now = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            table, key, image, place = now
+            fresh, out = last.shape[1], []
+            for lag in range(1, NEAR + 1):
+                i = np.arange(max(lag, fresh), now.shape[1])
+                j = i - lag
+                same = (table[i] == table[j]) & (key[i] >> 32 == key[j] >> 32) & (image[i] != image[j])
+                i, j = i[same], j[same]
+                close = np.bitwise_count((key[i] ^ key[j]) & 0xFFFFFFFF) <= BITS
+                i, j = i[close], j[close]
+                low = image[i] < image[j]
+                a, b = np.where(low, i, j), np.where(low, j, i)
+                out.append(np.stack([image[a], image[b], place[a], place[b]]))
+            last = now[:, -NEAR:]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["a", "b", "there", "place"])
+
+    order = ("table", "key", "image", "place")
+    return tables.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, there long, place long")
 
 
 def copies(media: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> DataFrame:
     """media_id, group_id, n_features of media with columns media_id, data; one row each."""
-    folded = media.select("media_id", F.unhex(F.sha2(F.coalesce("data", F.lit(b"")), 256)).alias("image"), "data")
-    classes = folded.groupBy("image").agg(F.min("media_id").alias("class_id"), F.first("data").alias("data"))
+    digest = F.unhex(F.sha2(F.coalesce("data", F.lit(b"")), 256))
+    named = media.select("media_id", digest.alias("digest"), "data")
+    classes = named.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.first("data").alias("data")).withColumn("image", F.xxhash64("digest"))
     rows = stash(describe(classes.select("image", "data")))
-    first = rows.groupBy("table", "value").agg(F.min("image").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    own = rows.join(first, ["table", "value"])
-    anchor = own.filter("image = a").select("table", "value", F.col("place").alias("there"))
-    anchor = anchor.groupBy("table", "value").agg(F.min("there").alias("there"))
-    ties = own.filter("image != a").join(anchor, ["table", "value"]).groupBy("a", "image").agg(F.collect_set(F.struct("there", "place")).alias("ties")).filter(F.size("ties") >= votes)
+    ties = tie(rows).groupBy("a", "b").agg(F.collect_set(F.struct("there", "place")).alias("ties")).filter(F.size("ties") >= votes)
 
     def check(source):
         for batch in batches(source, 512):
             a, b, both = (batch.column(k).to_pylist() for k in range(3))
-            n = [consensus(np.array([t["there"] for t in x]), np.array([t["place"] for t in x])) for x in both]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int32())], ["a", "b", "n"])
+            n = [consensus(*(unfolded(np.array([t[k] for t in x])) for k in ("there", "place"))) for x in both]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "n"])
 
-    linked = ties.mapInArrow(check, "a binary, b binary, n int").filter(F.col("n") >= inliers)
+    linked = ties.mapInArrow(check, "a long, b long, n int").filter(F.col("n") >= inliers)
     parts = components(linked.select("a", "b"))
     parts = stash(parts.union(parts.select(F.col("root").alias("node"), "root").distinct()))
-    names = classes.select("image", "class_id")
+    names = classes.select("digest", "image", "class_id")
     least = parts.join(names, F.col("node") == F.col("image")).groupBy("root").agg(F.min("class_id").alias("least"))
     groups = parts.join(least, "root").select(F.col("node").alias("image"), "least")
-    counts = rows.filter("table = 0").groupBy("image").agg(F.count("*").alias("n"))
-    out = folded.select("media_id", "image").join(names, "image").join(groups, "image", "left").join(counts, "image", "left")
-    none = F.col("image") == F.unhex(F.sha2(F.lit(b""), 256))
+    counts = rows.groupBy("image").agg(F.count("*").alias("n"))
+    out = named.select("media_id", "digest").join(names, "digest").join(groups, "image", "left").join(counts, "image", "left")
+    none = F.col("digest") == F.unhex(F.sha2(F.lit(b""), 256))
     return out.select("media_id", F.when(none, F.col("media_id")).otherwise(F.coalesce("least", "class_id")).alias("group_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_features"))
 
 
