@@ -278,7 +278,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     grouped = parts.join(names, "node").select("root", "class_id").union(parts.select("root").distinct().join(names.withColumnRenamed("node", "root"), "root"))
     least = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
     labels = parts.union(parts.select(F.col("root").alias("node"), "root").distinct()).join(least, "root").select(F.col("node").alias("class"), "group_id")
-    whole = classes.select("class", "class_id", "members").join(links, "class", "left").join(labels, "class", "left")
+    # written, so that the last join has a plain shuffle on both sides and Spark can split a class with many members
+    whole = stash(classes.select("class", "class_id", "members").join(links, "class", "left").join(labels, "class", "left"))
     rows = signed.select("doc_id", "class").join(whole, "class", "left")
     alone = F.col("class").isNull()
     return rows.select(
