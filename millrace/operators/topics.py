@@ -22,7 +22,9 @@ def match(sends: DataFrame, patterns: DataFrame, topic: str = "topic", pattern:
     matched once: its candidate patterns are joined by equality; only topics of over DEEPEST segments are compared
     one by one."""
     known = patterns.filter(paths.pattern_error(F.col(pattern)).isNull()).select(paths.canonical(F.col(pattern)).alias("__p")).distinct()
-    distinct = sends.select(F.col(topic).alias("__topic")).distinct()
+    # the count keeps Catalyst from moving the checks of a topic below the aggregate, to every send
+    counted = sends.groupBy(F.col(topic).alias("__raw")).agg(F.count("*").alias("__n"))
+    distinct = counted.select(F.when(F.col("__n") > 0, F.col("__raw")).alias("__topic"))
     valid = distinct.filter(paths.topic_error(F.col("__topic")).isNull())
     deep = F.size(paths.segments(F.col("__topic"))) > DEEPEST
     near = valid.filter(~deep).withColumn("__key", F.explode(paths.candidate_keys(F.col("__topic"))))
