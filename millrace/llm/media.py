@@ -116,7 +116,9 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b, c = smooth(dx * dx), smooth(dx * dy), smooth(dy * dy)
     r = a * c - b * b - 0.05 * (a + c) ** 2
     p = np.pad(r, 2, constant_values=-np.inf)
-    around = np.max([p[i : i + r.shape[0], j : j + r.shape[1]] for i in range(5) for j in range(5)], axis=0)
+    h, w = r.shape
+    rows = np.maximum.reduce([p[k : k + h] for k in range(5)])
+    around = np.maximum.reduce([rows[:, k : k + w] for k in range(5)])
     keep = (r == around) & (r > 1e-3 * max(r.max(), 1e-9)) & (r > 1.0)
     edge = PATCH + 3
     keep[:edge], keep[-edge:], keep[:, :edge], keep[:, -edge:] = False, False, False, False
@@ -142,20 +144,22 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         levels.append(small)
         if min(small.shape) > 2 * PATCH + 6:
             found += [(-r, level, i, j) for r, i, j in zip(*(v.tolist() for v in corners(small)), strict=True)]
-    places, bits = [], []
-    for _, level, i, j in sorted(found)[:FEATURES]:
-        small, scale = levels[level], SCALES[level]
+    best = sorted(found)[:FEATURES]
+    places, bits = [np.empty((0, 4))], [np.empty((0, 256), bool)]
+    for level, scale in enumerate(SCALES):
+        small, own = levels[level], [(i, j) for _, at, i, j in best if at == level]
+        if not own:
+            continue
+        i, j = np.array(own).T[:, :, None]
         patch = small[i + disc[:, 0], j + disc[:, 1]]
-        weight = patch - patch.mean()
-        angle = float(np.arctan2(weight @ disc[:, 0], weight @ disc[:, 1]))
-        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])  # on (row, column)
-        a, b = (np.rint(np.array([i, j]) + t @ turn).astype(int) for t in (first, second))
-        bits.append(small[a[:, 0], a[:, 1]] + 0.05 * patch.std() < small[b[:, 0], b[:, 1]])  # flat parts give 0, not noise
+        weight = patch - patch.mean(axis=1, keepdims=True)
+        angle = np.arctan2(weight @ disc[:, 0], weight @ disc[:, 1])
+        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+        at = [(i + np.rint(cos * t[:, 0] + sin * t[:, 1]).astype(int), j + np.rint(cos * t[:, 1] - sin * t[:, 0]).astype(int)) for t in (first, second)]
+        bits.append(small[at[0]] + 0.05 * patch.std(axis=1, keepdims=True) < small[at[1]])  # flat parts give 0, not noise
         h, w = x.shape[0] / small.shape[0], x.shape[1] / small.shape[1]
-        places.append(((j + 0.5) * w, (i + 0.5) * h, angle, scale))
-    if not bits:
-        return np.empty((0, 4)), np.empty((0, TABLES), np.int64)
-    return np.array(places), np.packbits(np.array(bits), axis=1).view(">u4").astype(np.int64)
+        places.append(np.column_stack([(j[:, 0] + 0.5) * w, (i[:, 0] + 0.5) * h, angle, np.full(len(angle), scale)]))
+    return np.concatenate(places), np.packbits(np.concatenate(bits), axis=1).view(">u4").astype(np.int64)
 
 
 def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int:
