@@ -57,6 +57,18 @@ def batches(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+_KEPT: dict = {}
+
+
+def kept(name: tuple, make):
+    """What a Python worker keeps from task to task, of one operator at a time: the next operator's tasks drop
+    it, so that the stages of a pipeline don't add up in a worker that Spark uses again."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves that remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

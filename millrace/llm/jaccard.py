@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, only, read, stash, texts
+from millrace.llm.common import batches, kept, only, read, stash, texts
 
 N, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, SEED = 5, 0.8, 32, 10, 0.9999, 192, 11
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
@@ -58,9 +58,8 @@ class Hashes(dict):
         return h
 
 
-@functools.lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return kept(("jaccard",), Hashes)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

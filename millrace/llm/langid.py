@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import batches, held_out, only, read, stash
+from millrace.llm.common import batches, held_out, kept, only, read, stash
 
 LONGEST, PIECE, ROUNDS, ALPHA, UNKNOWN, REMEMBER, AT_ONCE = 24, 12, 3, 0.01, 1e-6, 400_000, 4096
 WORD = re.compile(r"[^\W\d_]+")
@@ -246,10 +246,9 @@ def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Model
     return Model(path, langs, prior, table)
 
 
-@functools.lru_cache(maxsize=1)
 def memory(model: str, langs: int) -> tuple[dict, list]:
     """The words that this worker has scored with that model, for all its tasks."""
-    return {}, [np.zeros((0, langs))]
+    return kept(("langid", model), lambda: ({}, [np.zeros((0, langs))]))
 
 
 def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:

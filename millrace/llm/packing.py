@@ -20,7 +20,6 @@ partition gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import zlib
 from array import array
@@ -30,9 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import batches, only, read
+from millrace.llm.common import batches, kept, only, read
 
-SEQ, BLOCK, LINEAR, QUADRATIC, REMEMBER = 1024, 1 << 20, 1.0, 1.0 / 1024, 1_500_000
+SEQ, BLOCK, LINEAR, QUADRATIC, REMEMBER = 1024, 1 << 20, 1.0, 1.0 / 1024, 1_000_000
 MARKS = ".,;:!?%&*$#|)"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,10 +87,9 @@ class Ids:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def ids_by(path: str, remember: int) -> Ids:
     """One for all tasks of a worker."""
-    return Ids(path, remember)
+    return kept(("packing", path, remember), lambda: Ids(path, remember))
 
 
 def cost(n: int) -> float:
