@@ -239,7 +239,9 @@ def copies(media: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> Data
     digest = F.unhex(F.sha2(F.coalesce("data", F.lit(b"")), 256))
     named = media.select("media_id", digest.alias("digest"), "data")
     classes = named.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.first("data").alias("data")).withColumn("image", F.xxhash64("digest"))
-    rows = stash(describe(classes.select("image", "data")))
+    # images are few bytes for their work: a count of tasks of its own, which Spark does not lower by bytes
+    tasks = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stash(describe(classes.select("image", "data").repartition(tasks, "image")))
     ties = tie(rows).groupBy("a", "b").agg(F.collect_set(F.struct("there", "place")).alias("ties")).filter(F.size("ties") >= votes)
 
     def check(source):
