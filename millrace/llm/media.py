@@ -5,17 +5,18 @@ image; each is turned by the direction to its patch's centroid and described by
 pixel pairs. Brightness and contrast leave the comparisons alone, a crop leaves the patches inside it alone.
 
 Join: a descriptor is cut into 8 substrings of 32 bits, each a Hamming table; two descriptors within 7 bits
-share one for certain, farther ones often. A table is put in order by the substring and the one after it, and
-a feature is tied to the NEAR features before it that share the substring and differ in at most BITS bits of
-the next: rows that grow with the features, however many share a value. Image pairs with at least VOTES tied
-features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift) and the pair is a
-copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels. Verified ties,
-joined, are the groups.
+share one for certain, farther ones often. Two features of different images that share a substring and differ
+in at most BITS bits of the one after it are tied, all of them, however many share a value. Image pairs with
+at least VOTES tied features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift)
+and the pair is a copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels.
+Verified ties, joined, are the groups.
 
 Plan: exact copies of the bytes are folded by digest first, with partial aggregation. Features are found in
-one pass and written, 8 longs each. The tables are dealt by range, so a value that a third of the features
-have is spread over tasks; at a range's edge some ties are not made, a few of millions, and 8 tables stand in
-for each other. Only ties that pass the bits are shuffled to their image pair.
+one pass and written, one row an image. Images are dealt by hash to blocks of about BLOCK features, and each
+pair of blocks is a task: a substring that a third of the features have is spread over all of them, and all
+ties of two images meet in one task, so that verified image pairs only leave it. A task halves its blocks
+until about PAIRS rows of the tables meet at once. Work grows with the pairs of features that share a
+substring, which is the square of how many do; rows shuffled are images times blocks.
 
 Media: binary PGM and PPM (P5, P6, 8 bits), and PNG of 8 bits without interlace, grey, RGB, with or without
 alpha. Cases: null, empty or unreadable media and images without corners are groups of their own with 0
@@ -40,7 +41,7 @@ from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
 FEATURES, SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SEED = 32, (1.0, 2**-0.5, 0.5), 12, 4, 6, 3.0, 5
-TABLES, NEAR, BITS = 8, 3, 8
+TABLES, BITS, BLOCK, PAIRS, SECTORS = 8, 8, 1 << 17, 1 << 21, 16
 
 
 def png(data: bytes) -> np.ndarray | None:
@@ -165,12 +166,16 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int:
     """The most distinct features of a and of b that one similarity takes onto each other; rows are ties."""
     turn, scale = a[:, 2] - b[:, 2], b[:, 3] / a[:, 3]
-    best, z = 0, b[:, 0] + 1j * b[:, 1]
-    for k in range(len(a)):
-        m = scale[k] * np.exp(1j * turn[k])
-        near = np.abs(m * (z - z[k]) + (a[k, 0] + 1j * a[k, 1]) - (a[:, 0] + 1j * a[:, 1])) <= tolerance
-        near &= (np.abs(np.log(scale / scale[k])) < 0.1) & (np.cos(turn - turn[k]) > 0.95)
-        best = max(best, min(len(np.unique(a[near, :2], axis=0)), len(np.unique(b[near, :2], axis=0))))
+    best, w, z = 0, a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    for k in range(0, len(a), 256):
+        t, s = turn[k : k + 256, None], scale[k : k + 256, None]
+        near = np.abs(s * np.exp(1j * t) * (z - z[k : k + 256, None]) + w[k : k + 256, None] - w) <= tolerance
+        near &= (np.abs(np.log(scale / s)) < 0.1) & (np.cos(turn - t) > 0.95)
+        size = near.sum(axis=1)
+        for row in np.argsort(-size):
+            if size[row] <= best:
+                break
+            best = max(best, min(len(np.unique(v[near[row]])) for v in (w, z)))
     return best
 
 
@@ -188,50 +193,128 @@ def unfolded(place: np.ndarray) -> np.ndarray:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """image, place, words: one row a feature of images with columns image (a number of theirs) and data."""
+    """image, n, places, words: one row an image with features, of images with columns image (a number of theirs) and data."""
 
     def run(source):
         for batch in batches(source, 128):
-            images, places, words = [], [np.empty(0, np.int64)], []
+            rows = []
             for image, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = grey(data)
                 if x is not None and len((found := features(x))[0]):
-                    images += [image] * len(found[0])
-                    places.append(folded(found[0]))
-                    words += found[1].tolist()
-            columns = [pa.array(images, pa.int64()), pa.array(np.concatenate(places)), pa.array(words, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["image", "place", "words"])
+                    rows.append((image, len(found[0]), folded(found[0]).tobytes(), found[1].astype(np.uint32).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["image", "n", "places", "words"])
+
+    return media.mapInArrow(run, "image long, n long, places binary, words binary")
+
+
+def halves(image: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
+    """The features f, in order of their images, in two parts of whole images; one part if they are of one image."""
+    cuts = np.flatnonzero(np.diff(image[f])) + 1
+    return np.split(f, [cuts[np.abs(cuts - len(f) // 2).argmin()]]) if len(cuts) else [f]
+
+
+def tied(image: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """The ties of features a with features b, as two arrays at a time, all ties of two images together and in
+    order; if a is b, those of each two images once."""
+    same, found = a is b, []
+    if same and image[a[0]] == image[a[-1]]:
+        return
+    for t in range(TABLES):
+        order = np.argsort(words[b, t])
+        row = words[b[order], t]
+        low = np.searchsorted(row, words[a, t])
+        found.append((order, low, np.searchsorted(row, words[a, t], "right") - low))
+    if sum(int(n.sum()) for _, _, n in found) > PAIRS:
+        one, two = halves(image, a), halves(image, b)
+        if same:
+            yield from tied(image, words, one[0], one[0])
+            yield from tied(image, words, *one)
+            yield from tied(image, words, one[1], one[1])
+            return
+        if len(one) + len(two) > 2:
+            split = len(two) == 1 or len(one) == 2 and len(a) > len(b)
+            for part in one if split else two:
+                yield from tied(image, words, *((part, b) if split else (a, part)))
+            return
+    out = []
+    for t, (order, low, n) in enumerate(found):
+        i = np.repeat(a, n)
+        j = b[order[np.arange(len(i)) + np.repeat(low + n - np.cumsum(n), n)]]
+        near = image[i] < image[j] if same else image[i] != image[j]
+        i, j = i[near], j[near]
+        close = np.bitwise_count(words[i, (t + 1) % TABLES] ^ words[j, (t + 1) % TABLES]) <= BITS
+        out.append(i[close] * len(image) + j[close])
+    ties = np.sort(np.concatenate(out))
+    i, j = np.divmod(ties[np.r_[True, ties[1:] != ties[:-1]]] if len(ties) else ties, len(image))
+    order = np.argsort(image[i] * (image[-1] + 1) + image[j], kind="stable")
+    yield i[order], j[order]
+
+
+def hopeful(turn: np.ndarray, level: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """The groups in which at least so many ties have a turn and a level that one consensus could take in."""
+    wide = (group[-1] + 1) * SECTORS
+    cell = group * SECTORS + np.floor(turn / (2 * np.pi) % 1 * SECTORS).astype(np.int64) % SECTORS
+    good = np.zeros(group[-1] + 1, bool)
+    for middle in np.unique(level):
+        n = np.bincount(cell[np.abs(level - middle) <= 1], minlength=wide).reshape(-1, SECTORS)
+        good |= (n + np.roll(n, 1, axis=1) + np.roll(n, -1, axis=1)).max(axis=1) >= least
+    return np.flatnonzero(good)
+
+
+def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.ndarray, votes: int, inliers: int):
+    """Pairs of images, by number, that consensus verifies; of two sides only those across."""
+    at, found = unfolded(place), []
+    parts = [np.flatnonzero(sides == s) for s in np.unique(sides)]
+    for i, j in tied(image, words, parts[0], parts[-1]):
+        if not len(i):
+            continue
+        first = np.flatnonzero(np.r_[True, (np.diff(image[i]) != 0) | (np.diff(image[j]) != 0)])
+        count = np.diff(np.r_[first, len(i)])
+        many = count >= max(votes, inliers)
+        if not many.any():
+            continue
+        use = np.repeat(many, count)
+        i, j, count = i[use], j[use], count[many]
+        first = np.cumsum(count) - count
+        group = np.repeat(np.arange(len(count)), count)
+        for g in hopeful(at[i, 2] - at[j, 2], (place[j] & 15) - (place[i] & 15), group, inliers):
+            x, y = (k[first[g] : first[g] + count[g]] for k in (i, j))
+            if consensus(at[x], at[y]) >= inliers:
+                found.append((image[x[0]], image[y[0]]))
+    return found
+
+
+def verified(rows: DataFrame, votes: int, inliers: int, block: int = BLOCK) -> DataFrame:
+    """a, b: the pairs of images that are copies; rows as describe gives them."""
+    blocks = -(-(rows.agg(F.sum("n")).first()[0] or 1) // block)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("image"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "image", "places", "words")
 
-    return media.mapInArrow(run, "image long, place long, words array<long>")
+    def run(source):
+        held, key = [], None
+
+        def close():
+            found = []
+            if held and (key[0] == key[1] or held[0][0] != held[-1][0]):
+                sides, names, places, words = zip(*held, strict=True)
+                n = [len(p) // 8 for p in places]
+                image = np.repeat(np.arange(len(n)), n)
+                columns = np.frombuffer(b"".join(places), np.int64), np.frombuffer(b"".join(words), np.uint32).reshape(-1, TABLES)
+                found = [(names[x], names[y]) for x, y in alike(image, *columns, np.repeat(sides, n), votes, inliers)]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        for batch in batches(source, 512):
+            for i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (i, j) != key:
+                    yield close()
+                    held, key = [], (i, j)
+                held.append(row)
+        yield close()
 
-def tie(rows: DataFrame) -> DataFrame:
-    """a, b, there, place: features of two images that are near in some table."""
-    word = lambda t: F.element_at("words", t % TABLES + 1)
-    keys = F.array(*(F.struct(F.lit(t).alias("table"), (F.shiftleft(word(t) - (1 << 31), 32) + word(t + 1)).alias("key")) for t in range(TABLES)))
-    tables = rows.select("image", "place", F.explode(keys).alias("k")).select("k.table", "k.key", "image", "place")
-
-    def run(source):
-        last = np.empty((4, 0), np.int64)
-        for batch in source:
-            now = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            table, key, image, place = now
-            fresh, out = last.shape[1], []
-            for lag in range(1, NEAR + 1):
-                i = np.arange(max(lag, fresh), now.shape[1])
-                j = i - lag
-                same = (table[i] == table[j]) & (key[i] >> 32 == key[j] >> 32) & (image[i] != image[j])
-                i, j = i[same], j[same]
-                close = np.bitwise_count((key[i] ^ key[j]) & 0xFFFFFFFF) <= BITS
-                i, j = i[close], j[close]
-                low = image[i] < image[j]
-                a, b = np.where(low, i, j), np.where(low, j, i)
-                out.append(np.stack([image[a], image[b], place[a], place[b]]))
-            last = now[:, -NEAR:]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["a", "b", "there", "place"])
-
-    order = ("table", "key", "image", "place")
-    return tables.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, there long, place long")
+    order = ("i", "j", "own", "image")
+    return dealt.repartition(blocks * (blocks + 1), "i", "j").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def copies(media: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> DataFrame:
@@ -242,21 +325,12 @@ def copies(media: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> Data
     # images are few bytes for their work: a count of tasks of its own, which Spark does not lower by bytes
     tasks = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stash(describe(classes.select("image", "data").repartition(tasks, "image")))
-    ties = tie(rows).groupBy("a", "b").agg(F.collect_set(F.struct("there", "place")).alias("ties")).filter(F.size("ties") >= votes)
-
-    def check(source):
-        for batch in batches(source, 512):
-            a, b, both = (batch.column(k).to_pylist() for k in range(3))
-            n = [consensus(*(unfolded(np.array([t[k] for t in x])) for k in ("there", "place"))) for x in both]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "n"])
-
-    linked = ties.mapInArrow(check, "a long, b long, n int").filter(F.col("n") >= inliers)
-    parts = components(linked.select("a", "b"))
+    parts = components(verified(rows, votes, inliers))
     parts = stash(parts.union(parts.select(F.col("root").alias("node"), "root").distinct()))
     names = classes.select("digest", "image", "class_id")
     least = parts.join(names, F.col("node") == F.col("image")).groupBy("root").agg(F.min("class_id").alias("least"))
     groups = parts.join(least, "root").select(F.col("node").alias("image"), "least")
-    counts = rows.groupBy("image").agg(F.count("*").alias("n"))
+    counts = rows.select("image", "n")
     out = named.select("media_id", "digest").join(names, "digest").join(groups, "image", "left").join(counts, "image", "left")
     none = F.col("digest") == F.unhex(F.sha2(F.lit(b""), 256))
     return out.select("media_id", F.when(none, F.col("media_id")).otherwise(F.coalesce("least", "class_id")).alias("group_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_features"))

@@ -76,3 +76,30 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert got[200].group_id == 0 and got[201].group_id == 1
     assert [got[k].group_id for k in (300, 301, 302, 303)] == [300, 301, 302, 303] and got[303].n_features == 0
     assert media.copies(df.limit(0)).count() == 0
+
+
+def test_every_near_pair_of_a_common_substring_is_tied():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 1 << 32, (400, 8), dtype=np.uint32)
+    words[:, 2] = 77  # a texture that all images have
+    words[1::2] = words[::2]
+    words[1::2, 3] ^= np.uint32(1 << 31)  # partners far apart in the order of the table
+    place = r.permutation(400)
+    words = words[place]
+    image = np.arange(400) // 2
+    near = lambda i, j: any(words[i, t] == words[j, t] and int(words[i, (t + 1) % 8] ^ words[j, (t + 1) % 8]).bit_count() <= media.BITS for t in range(8))
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if image[i] != image[j] and near(i, j)}
+    assert len(want) > 150
+    for limit in (media.PAIRS, 500):
+        media.PAIRS, before = limit, media.PAIRS
+        every = np.arange(400)
+        got = [(int(i), int(j)) for x, y in media.tied(image, words, every, every) for i, j in zip(x, y, strict=True)]
+        media.PAIRS = before
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_of_images_find_what_one_block_finds(spark):
+    rows = [(k, pgm(scene(10 + i) if k < 100 else scene(10 + i)[10:, 7:-9] * 0.8 + 25)) for i in range(8) for k in (i, 100 + i)]
+    found = media.describe(spark.createDataFrame(rows, "image long, data binary"))
+    pairs = [{tuple(sorted(r)) for r in media.verified(found, media.VOTES, media.INLIERS, block).collect()} for block in (1 << 17, 100)]
+    assert pairs[0] == pairs[1] and len({(i, 100 + i) for i in range(8)} & pairs[0]) >= 7
