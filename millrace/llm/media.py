@@ -1,14 +1,15 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Features: on a pyramid of scales, Harris corners that are the largest around them, the FEATURES strongest an
-image; each is turned by the direction to its patch's centroid and described by 256 comparisons of smoothed
-pixel pairs. Brightness and contrast leave the comparisons alone, a crop leaves the patches inside it alone.
+Features: on a pyramid of scales, all Harris corners that are the largest around them and above a share of the
+level's strongest, as many as the image has, so that a small crop keeps all of its own; each is turned by the direction to its
+patch's centroid and described by 256 comparisons of smoothed pixel pairs. Brightness and contrast leave the comparisons alone, a crop leaves the patches inside it alone.
 
 Join: a descriptor is cut into 8 substrings of 32 bits, each a Hamming table; two descriptors within 7 bits
 share one for certain, farther ones often. Two features of different images that share a substring and differ
 in at most BITS bits of the one after it are tied, all of them, however many share a value. Image pairs with
 at least VOTES tied features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift)
-and the pair is a copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels.
+and the pair is a copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels,
+and SHARE of the features where the two overlap besides: pictures with more features agree more by chance.
 Verified ties, joined, are the groups.
 
 Plan: exact copies of the bytes are folded by digest first, with partial aggregation. Features are found in
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
-FEATURES, SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SEED = 32, (1.0, 2**-0.5, 0.5), 12, 4, 6, 3.0, 5
+SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, SEED = (1.0, 2**-0.5, 0.5), 12, 4, 6, 3.0, 0.2, 5
 TABLES, BITS, BLOCK, PAIRS, SECTORS = 8, 8, 1 << 17, 1 << 21, 16
 
 
@@ -145,10 +146,10 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         levels.append(small)
         if min(small.shape) > 2 * PATCH + 6:
             found += [(-r, level, i, j) for r, i, j in zip(*(v.tolist() for v in corners(small)), strict=True)]
-    best = sorted(found)[:FEATURES]
+    found.sort()
     places, bits = [np.empty((0, 4))], [np.empty((0, 256), bool)]
     for level, scale in enumerate(SCALES):
-        small, own = levels[level], [(i, j) for _, at, i, j in best if at == level]
+        small, own = levels[level], [(i, j) for _, at, i, j in found if at == level]
         if not own:
             continue
         i, j = np.array(own).T[:, :, None]
@@ -163,22 +164,36 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.packbits(np.concatenate(bits), axis=1).view(">u4").astype(np.int64)
 
 
-def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int:
-    """The most distinct features of a and of b that one similarity takes onto each other; rows are ties."""
+def agree(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> tuple[int, complex, complex]:
+    """The most distinct features of a and of b that one similarity takes onto each other, and its factor and
+    shift from b to a; rows are ties."""
     turn, scale = a[:, 2] - b[:, 2], b[:, 3] / a[:, 3]
-    best, w, z = 0, a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    best, w, z = (0, 1 + 0j, 0j), a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    m = scale * np.exp(1j * turn)
     for k in range(0, len(a), 256):
         t, s = turn[k : k + 256, None], scale[k : k + 256, None]
-        near = np.abs(s * np.exp(1j * t) * (z - z[k : k + 256, None]) + w[k : k + 256, None] - w) <= tolerance
+        near = np.abs(m[k : k + 256, None] * (z - z[k : k + 256, None]) + w[k : k + 256, None] - w) <= tolerance
         near &= (np.abs(np.log(scale / s)) < 0.1) & (np.cos(turn - t) > 0.95)
         size = near.sum(axis=1)
         for row in np.argsort(-size):
-            if size[row] <= best:
+            if size[row] <= best[0]:
                 break
-            best = max(best, min(len(np.unique(v[near[row]])) for v in (w, z)))
+            n = min(len(np.unique(v[near[row]])) for v in (w, z))
+            best = max(best, (n, m[k + row], w[k + row] - m[k + row] * z[k + row]), key=lambda x: x[0])
     return best
 
 
+def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int:
+    return agree(a, b, tolerance)[0]
+
+
+def overlap(a: np.ndarray, b: np.ndarray, factor: complex, shift: complex, slack: float = TOLERANCE) -> int:
+    """How many features of a and of b, the fewer, lie where the similarity lays the two pictures' features on each other."""
+    w, z = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    inside = lambda x, y: int(((x.real >= y.real.min() - slack) & (x.real <= y.real.max() + slack) & (x.imag >= y.imag.min() - slack) & (x.imag <= y.imag.max() + slack)).sum())
+    return min(inside(factor * z + shift, w), inside((w - shift) / factor, z))
+
+
 def folded(places: np.ndarray) -> np.ndarray:
     """A place in one integer: x and y in eighths of a pixel, the angle in 2^16 parts of a turn, the level."""
     x, y = (np.clip(np.rint(places[:, k] * 8), 0, (1 << 20) - 1).astype(np.int64) for k in (0, 1))
@@ -265,6 +280,7 @@ def hopeful(turn: np.ndarray, level: np.ndarray, group: np.ndarray, least: int)
 def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.ndarray, votes: int, inliers: int):
     """Pairs of images, by number, that consensus verifies; of two sides only those across."""
     at, found = unfolded(place), []
+    start = np.searchsorted(image, np.arange(image[-1] + 2))
     parts = [np.flatnonzero(sides == s) for s in np.unique(sides)]
     for i, j in tied(image, words, parts[0], parts[-1]):
         if not len(i):
@@ -280,7 +296,8 @@ def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.nda
         group = np.repeat(np.arange(len(count)), count)
         for g in hopeful(at[i, 2] - at[j, 2], (place[j] & 15) - (place[i] & 15), group, inliers):
             x, y = (k[first[g] : first[g] + count[g]] for k in (i, j))
-            if consensus(at[x], at[y]) >= inliers:
+            n, factor, shift = agree(at[x], at[y])
+            if n >= inliers and n >= inliers + SHARE * overlap(*(at[start[image[k[0]]] : start[image[k[0]] + 1]] for k in (x, y)), factor, shift):
                 found.append((image[x[0]], image[y[0]]))
     return found
 

@@ -103,3 +103,24 @@ def test_blocks_of_images_find_what_one_block_finds(spark):
     found = media.describe(spark.createDataFrame(rows, "image long, data binary"))
     pairs = [{tuple(sorted(r)) for r in media.verified(found, media.VOTES, media.INLIERS, block).collect()} for block in (1 << 17, 100)]
     assert pairs[0] == pairs[1] and len({(i, 100 + i) for i in range(8)} & pairs[0]) >= 7
+
+
+def linked(pictures):
+    """The pairs of pictures, by number, that are verified as copies."""
+    found = [media.features(x) for x in pictures]
+    n = [len(f[0]) for f in found]
+    columns = np.concatenate([media.folded(f[0]) for f in found]), np.concatenate([f[1] for f in found]).astype(np.uint32)
+    return {(int(a), int(b)) for a, b in media.alike(np.repeat(np.arange(len(n)), n), *columns, np.zeros(sum(n), int), media.VOTES, media.INLIERS)}
+
+
+def blocks(seed, size=40):
+    return np.kron(np.random.default_rng(seed).integers(20, 220, (size, size)), np.ones((9, 9)))
+
+
+def test_small_crops_of_large_pictures_are_found():
+    wholes = [blocks(50 + i) for i in range(6)]
+    crops = []
+    for i, x in enumerate(wholes):
+        side = (120, 150, 180)[i % 3]  # 11, 17 and 25 percent
+        crops.append(x[20 + 9 * i : 20 + 9 * i + side, 130 - 7 * i : 130 - 7 * i + side])
+    assert linked(wholes + crops) == {(i, 6 + i) for i in range(6)}
