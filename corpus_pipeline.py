@@ -28,9 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the texts; every document stays."""
+    """Lines that are boilerplate of their source go from the texts; every document stays, and keeps its text
+    if all of it would go. Copies of a text count once, so that a group of them is left to near_duplicates."""
     ship(spark)
-    clean = linededup.drop_boilerplate(docs.select(*COLUMNS), "source")
+    clean = linededup.drop_boilerplate(docs.select(*COLUMNS), "source", distinct=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

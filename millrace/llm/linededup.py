@@ -9,6 +9,9 @@ over a fixed part of the pages, a host has at most (mean distinct lines a page)
 many pages it has; those go back to the pages as one array a host. The planner broadcasts that table if its
 written size allows; else the pages are joined on (host, salt), so a hot host is spread over SALTS tasks.
 
+With ``distinct`` each text of a host counts as one page in both terms, and a page that would lose all its
+lines keeps them: copies of a page, exact or near, don't make its own lines boilerplate and vanish together.
+
 Cases: a null text stays null, with no lines; an empty or blank line is never boilerplate; null hosts are
 one host of their own; repeated rows count as pages of their own; other columns stay as they are; an empty
 table gives an empty one.
@@ -39,14 +42,19 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return over.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """The pages with ``text`` cleaned; __lines and __dropped count the lines before and those that went."""
-    bad = stash(boilerplate(pages, host, text, ratio, min_pages))
+    if distinct:
+        digest = F.unhex(F.sha2(F.col(f"`{text}`"), 256))
+        each = pages.groupBy(F.col(f"`{host}`"), digest.alias("__digest")).agg(F.first(F.col(f"`{text}`")).alias(text))
+    bad = stash(boilerplate(each if distinct else pages, host, text, ratio, min_pages))
     spread = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
     salted = pages.withColumn("__salt", F.pmod(F.xxhash64(*(f"`{c}`" for c in pages.columns)), F.lit(SALTS)).cast("int"))
     joined = salted.join(spread, F.col(f"`{host}`").eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__part")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     clean = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__bad", _key(x))))
+    if distinct:
+        clean = F.when(F.exists(clean, lambda x: F.trim(x) != ""), clean).otherwise(lines)
     before = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     out = joined.withColumns({"__lines": F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(before).cast("long"), "__clean": clean})
     gone = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.col("__lines") - F.size("__clean")).cast("long")

@@ -94,3 +94,18 @@ def test_run_packs_everything(spark, folder):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_third_of_copies_leaves_one_with_its_text(spark):
+    r = random.Random(6)
+    text = lambda: "\n".join(" ".join(f"w{r.randrange(500)}" for _ in range(20)) for _ in range(6))
+    copy, near = text(), text().split("\n")
+    rows = [(i, text(), "s") for i in range(60)] + [(100 + i, copy, "s") for i in range(30)]
+    rows += [(200 + i, "\n".join([*near, f"w{i}"]), "t") for i in range(20)] + [(300 + i, text(), "t") for i in range(40)]
+    rows += [(400 + i, "\n".join(near[k] for k in range(6) if k != i % 6), "u") for i in range(12)]
+    docs = spark.createDataFrame([(a, b, "en", c, len(b)) for a, b, c in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_duplicates, corpus_pipeline.mixture):
+        docs = linededup.stash(stage(spark, docs, ""))
+        got = {x.doc_id: x.text for x in docs.collect()}
+        assert got[100] == copy and any(near[0] in t for t in got.values())
+    assert sum(t == copy for t in got.values()) == 1
