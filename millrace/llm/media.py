@@ -8,7 +8,9 @@ Join: a descriptor is cut into 8 substrings of 32 bits, each a Hamming table; tw
 share one for certain, farther ones often. Two features of different images that share a substring and differ
 in at most BITS bits of the one after it are tied, all of them, however many share a value. Image pairs with
 at least VOTES tied features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift)
-and the pair is a copy if at least INLIERS distinct features agree with the best one within TOLERANCE pixels,
+by its levels and angles, and with each tie that roughly fits it another by the two places, as levels are a
+fixed step apart and angles not exact. The pair is a copy if at least INLIERS distinct features agree with the
+best one within TOLERANCE pixels or REACH of the picture, whichever is more,
 and SHARE of the features where the two overlap besides: pictures with more features agree more by chance.
 Verified ties, joined, are the groups.
 
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
-SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, SEED = (1.0, 2**-0.5, 0.5), 12, 4, 6, 3.0, 0.2, 5
+SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, REACH, ROUGH, SEED = tuple(2 ** (-k / 4) for k in range(5)), 12, 4, 6, 3.0, 0.2, 0.01, 0.15, 5
 TABLES, BITS, BLOCK, PAIRS, SECTORS = 8, 8, 1 << 17, 1 << 21, 16
 
 
@@ -164,22 +166,37 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.packbits(np.concatenate(bits), axis=1).view(">u4").astype(np.int64)
 
 
-def agree(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> tuple[int, complex, complex]:
+def agree(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE, least: int = 1, enough=lambda *found: False) -> tuple[int, complex, complex]:
     """The most distinct features of a and of b that one similarity takes onto each other, and its factor and
-    shift from b to a; rows are ties."""
+    shift from b to a; rows are ties. Fewer than ``least`` may be told as 0; the first that is ``enough`` is taken."""
     turn, scale = a[:, 2] - b[:, 2], b[:, 3] / a[:, 3]
     best, w, z = (0, 1 + 0j, 0j), a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    tolerance = max(tolerance, REACH * float(np.ptp(a[:, :2], axis=0).max()))
     m = scale * np.exp(1j * turn)
     for k in range(0, len(a), 256):
         t, s = turn[k : k + 256, None], scale[k : k + 256, None]
-        near = np.abs(m[k : k + 256, None] * (z - z[k : k + 256, None]) + w[k : k + 256, None] - w) <= tolerance
-        near &= (np.abs(np.log(scale / s)) < 0.1) & (np.cos(turn - t) > 0.95)
-        size = near.sum(axis=1)
+        dz, dw = z - z[k : k + 256, None], w - w[k : k + 256, None]
+        rough = np.abs(m[k : k + 256, None] * dz - dw) <= np.maximum(tolerance, ROUGH * np.abs(m[k : k + 256, None] * dz))
+        rough &= (np.abs(np.log(scale / s)) < 0.2) & (np.cos(turn - t) > 0.95)
+        size = rough.sum(axis=1)
         for row in np.argsort(-size):
-            if size[row] <= best[0]:
+            if size[row] <= best[0] or size[row] < least:
                 break
-            n = min(len(np.unique(v[near[row]])) for v in (w, z))
-            best = max(best, (n, m[k + row], w[k + row] - m[k + row] * z[k + row]), key=lambda x: x[0])
+            use = np.flatnonzero(rough[row])
+            one, two = dz[row, use], dw[row, use]
+            far = np.abs(one) > tolerance
+            proposed = np.r_[m[k + row], two[far] / one[far]]  # by the tie alone, and by it and each other one
+            for some in np.array_split(proposed, -(-len(proposed) * len(use) // (1 << 20))):
+                near = np.abs(some[:, None] * one - two) <= tolerance
+                count = near.sum(axis=1)
+                for i in np.argsort(-count):
+                    if count[i] <= best[0]:
+                        break
+                    n = min(len(np.unique(v[use[near[i]]])) for v in (w, z))
+                    if n > best[0]:
+                        best = n, some[i], w[k + row] - some[i] * z[k + row]
+                        if n >= least and enough(*best):
+                            return best
     return best
 
 
@@ -188,10 +205,14 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE) -> int
 
 
 def overlap(a: np.ndarray, b: np.ndarray, factor: complex, shift: complex, slack: float = TOLERANCE) -> int:
-    """How many features of a and of b, the fewer, lie where the similarity lays the two pictures' features on each other."""
-    w, z = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
-    inside = lambda x, y: int(((x.real >= y.real.min() - slack) & (x.real <= y.real.max() + slack) & (x.imag >= y.imag.min() - slack) & (x.imag <= y.imag.max() + slack)).sum())
-    return min(inside(factor * z + shift, w), inside((w - shift) / factor, z))
+    """How many features of a and of b, the fewer, lie where the similarity lays the two pictures' features on
+    each other, of the levels that both have at its scale."""
+    size = abs(factor)
+    both = lambda x: (x > SCALES[-1] * 0.92) & (x < SCALES[0] * 1.09)
+    w, z = ((x[:, 0] + 1j * x[:, 1]) for x in (a, b))
+    shown = both(b[:, 3] / size), both(a[:, 3] * size)
+    inside = lambda x, y, use: int((use & (x.real >= y.real.min() - slack) & (x.real <= y.real.max() + slack) & (x.imag >= y.imag.min() - slack) & (x.imag <= y.imag.max() + slack)).sum())
+    return min(inside(factor * z + shift, w, shown[0]), inside((w - shift) / factor, z, shown[1]))
 
 
 def folded(places: np.ndarray) -> np.ndarray:
@@ -296,15 +317,17 @@ def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.nda
         group = np.repeat(np.arange(len(count)), count)
         for g in hopeful(at[i, 2] - at[j, 2], (place[j] & 15) - (place[i] & 15), group, inliers):
             x, y = (k[first[g] : first[g] + count[g]] for k in (i, j))
-            n, factor, shift = agree(at[x], at[y])
-            if n >= inliers and n >= inliers + SHARE * overlap(*(at[start[image[k[0]]] : start[image[k[0]] + 1]] for k in (x, y)), factor, shift):
+            one, two = (at[start[image[v[0]]] : start[image[v[0]] + 1]] for v in (x, y))
+            copy = lambda n, factor, shift, one=one, two=two: n >= inliers + SHARE * overlap(one, two, factor, shift)
+            if copy(*agree(at[x], at[y], least=inliers, enough=copy)):
                 found.append((image[x[0]], image[y[0]]))
     return found
 
 
 def verified(rows: DataFrame, votes: int, inliers: int, block: int = BLOCK) -> DataFrame:
     """a, b: the pairs of images that are copies; rows as describe gives them."""
-    blocks = -(-(rows.agg(F.sum("n")).first()[0] or 1) // block)
+    total = rows.agg(F.sum("n")).first()[0] or 1
+    blocks = max(-(-total // block), min(8, -(-total // 4096)))  # some tasks also for few images
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("image"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "image", "places", "words")
 

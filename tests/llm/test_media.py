@@ -118,9 +118,26 @@ def blocks(seed, size=40):
 
 
 def test_small_crops_of_large_pictures_are_found():
-    wholes = [blocks(50 + i) for i in range(6)]
-    crops = []
-    for i, x in enumerate(wholes):
-        side = (120, 150, 180)[i % 3]  # 11, 17 and 25 percent
-        crops.append(x[20 + 9 * i : 20 + 9 * i + side, 130 - 7 * i : 130 - 7 * i + side])
-    assert linked(wholes + crops) == {(i, 6 + i) for i in range(6)}
+    for i in range(6):
+        x, side = blocks(50 + i), (120, 150, 180)[i % 3]  # 11, 17 and 25 percent
+        crop = x[20 + 9 * i : 20 + 9 * i + side, 130 - 7 * i : 130 - 7 * i + side]
+        assert linked([x, crop]) == {(0, 1)} and linked([blocks(60 + i, 20), crop]) == set()
+
+
+def test_resized_and_turned_copies_are_found():
+    for i, factor in enumerate((0.85, 0.7, 0.6)):
+        x = blocks(70 + i, 30)
+        assert linked([x, media.resize(x, factor)]) == {(0, 1)}
+    x = blocks(80)  # 360 pixels, turned by 10 degrees
+    i, j = np.mgrid[: len(x), : len(x)] - len(x) / 2
+    c, s = np.cos(np.pi / 18), np.sin(np.pi / 18)
+    at = [np.clip(v + len(x) / 2, 0, len(x) - 1).astype(int) for v in (c * i + s * j, c * j - s * i)]
+    assert linked([x, x[at[0], at[1]]]) == {(0, 1)}
+
+
+def test_consensus_mends_scale_and_turn():
+    r = np.random.default_rng(1)
+    a = np.column_stack([r.uniform(0, 1000, (30, 2)), r.uniform(-3, 3, 30), np.ones(30)])
+    z = 0.92 * np.exp(-0.3j) * (a[:, 0] + 1j * a[:, 1])
+    b = np.column_stack([z.real, z.imag, a[:, 2] - 0.3 + r.normal(0, 0.05, 30), np.ones(30)])  # the level says 1, the angles are not exact
+    assert media.consensus(a, b) == 30
