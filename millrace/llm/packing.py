@@ -9,10 +9,9 @@ length buckets pad nothing, so hardly any padding is left.
 Plan: no shuffle. A task streams its partition, tokenizes and packs block by block, so its memory is one
 block. Sequence ids are (partition << 40) + a counter: unique, and the same when a lost task runs again.
 
-Tokenizing: the pre-tokenizer always starts a new piece at a single space between two other characters,
-so the ids of a word after a space do not depend on what surrounds it. Each worker keeps the ids of such
-words (at most ``remember`` of them, then it starts anew); texts with other spacing, or with the
-vocabulary's own special strings, go to the tokenizer as a whole.
+Tokenizing: the vocabulary's merges, read from the tokenizer's own file, are the ranks of a byte-level BPE
+encoder that keeps no words from text to text; it gives the same ids (the tests hold it to the tokenizer,
+every code point included). Texts with one of the vocabulary's special strings go to the tokenizer itself.
 
 Cases: null and empty texts are one id 0; repeated rows are documents of their own; an empty table or
 partition gives no rows; extra columns are not read.
@@ -20,20 +19,22 @@ partition gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import heapq
+import functools
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import batches, kept, only, read
+from millrace.llm.common import batches, only, read
 
-SEQ, BLOCK, LINEAR, QUADRATIC, REMEMBER = 1024, 1 << 20, 1.0, 1.0 / 1024, 1_000_000
-MARKS = ".,;:!?%&*$#|)"
+SEQ, BLOCK, LINEAR, QUADRATIC = 1024, 1 << 20, 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Fixed value: the pre-tokenizer's pattern, without ways back into what has matched.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def default_tokenizer() -> str:
@@ -42,54 +43,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the others
+    in order from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)).difference(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Ids:
     """Token ids of whole texts, as little-endian 32-bit integers."""
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.feed = self.encode(["\n"])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Letters and the marks that follow them are pieces of their own, so each is tokenized once."""
-        if len(known) > self.remember:
-            known.clear()
-        new = [w for w in words.difference(known) if len(w.split()) == 1 and w.strip() == w]
-        for x in self.special:
-            new = [w for w in new if x not in w]
-        cores = [w.rstrip(MARKS) for w in new]
-        ends = [len(c) if c.isalpha() else len(w) for w, c in zip(new, cores, strict=True)]
-        plain = list({w[:n] for w, n in zip(new, ends, strict=True)}.difference(known))
-        known.update(zip(plain, self.encode([lead + w for w in plain]), strict=True))
-        marks = list({w[n:] for w, n in zip(new, ends, strict=True)}.difference(self.marks))
-        self.marks.update(zip(marks, self.encode(marks), strict=True))
-        known.update((w, known[w[:n]] + self.marks[w[n:]]) for w, n in zip(new, ends, strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads = [[line.pop(0) for line in t] for t in split]
-        self.learn(self.first, set().union(*heads), "")
-        self.learn(self.later, set().union(*(line for t in split for line in t)), " ")
-        first, later, out = self.first.__getitem__, self.later.__getitem__, []
-        for text, head, tails in zip(texts, heads, split, strict=True):
-            try:
-                out.append(self.feed.join([first(h) + b"".join(map(later, tail)) for h, tail in zip(head, tails, strict=True)]) if text else b"")
-            except KeyError:  # a word that hangs together with what surrounds it
-                out.append(self.encode([text])[0])
-        return out
-
-
-def ids_by(path: str, remember: int) -> Ids:
-    """One for all tasks of a worker."""
-    return kept(("packing", path, remember), lambda: Ids(path, remember))
+        with open(path, encoding="utf-8") as f:
+            known, byte = json.load(f)["model"]["vocab"], byte_of()
+        ranks = {bytes(byte[c] for c in x): i for x, i in known.items() if x not in self.special}
+        self.fast = tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def ids_by(path: str) -> Ids:
+    """One for all tasks of a worker: the vocabulary and nothing else."""
+    return Ids(path)
 
 
 def cost(n: int) -> float:
@@ -99,22 +84,19 @@ def cost(n: int) -> float:
 def place(rests: list[int], seq: int = SEQ) -> Iterator[tuple[int, int, int, int, int]]:
     """(index of the rest, its start, length, sequence, offset) for rests shorter than seq."""
     count = -(-sum(rests) // seq)
-    used, open_ = [0] * count, [(0.0, k) for k in range(count)]
+    used, dear = np.zeros(count, np.int64), np.zeros(count)
     aside: list[tuple[int, int]] = []
     for i in sorted(range(len(rests)), key=lambda i: (-rests[i], i)):
-        n, skipped = rests[i], []
-        while open_ and seq - used[open_[0][1]] < n and len(skipped) < 64:
-            skipped.append(heapq.heappop(open_))
-        if open_ and seq - used[open_[0][1]] >= n:
-            dear, k = heapq.heappop(open_)
-            yield i, 0, n, k, used[k]
+        n = rests[i]
+        open_ = np.where(used <= seq - n, dear, np.inf)
+        k = int(open_.argmin())
+        if open_[k] < np.inf:
+            yield i, 0, n, k, int(used[k])
             used[k] += n
-            if used[k] < seq:
-                heapq.heappush(open_, (dear + cost(n), k))
+            dear[k] += cost(n)
         else:
             aside.append((i, n))
-        for x in skipped:
-            heapq.heappush(open_, x)
+    used = used.tolist()
     room = iter([k for k in range(count) if used[k] < seq])
     k = next(room, 0)
     for i, n in aside:
@@ -141,12 +123,12 @@ def carve(rests: list, tokens: int) -> tuple[list, list]:
     return stay, go
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, block: int = BLOCK, remember: int = REMEMBER) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, block: int = BLOCK) -> DataFrame:
     """One row a piece of documents with columns doc_id and text; see the module for the columns."""
     tokenizer = tokenizer or default_tokenizer()
 
     def run(source):
-        ids_of, made, rows, rests, held = ids_by(tokenizer, remember), TaskContext.get().partitionId() << 40, [], [], 0
+        ids_of, made, rows, rests, held = ids_by(tokenizer), TaskContext.get().partitionId() << 40, [], [], 0
 
         def add(d, ids, a, b, k, offset):
             rows.append((d, a, b - a, zlib.crc32(ids[a * 4 : b * 4]), len(ids) // 4, made + k, offset))
@@ -172,8 +154,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, block: i
                     a, used = a + n, used + n
 
         for batch in batches(source, 128):
-            for d, ids in zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += b"\0\0\0\0"
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = ids_of(text or "") + b"\0\0\0\0"
                 n = len(ids) // 4
                 for a in range(0, n - seq + 1, seq):
                     add(d, ids, a, a + seq, 0, 0)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 
 import pytest
 from hypothesis import given, settings
@@ -14,19 +15,42 @@ def ids():
     return packing.Ids(packing.default_tokenizer())
 
 
+@pytest.fixture(scope="module")
+def plain(ids):
+    """The ids by the tokenizer itself."""
+    return lambda text: array("I", ids.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_ids_equal_the_tokenizer(ids, seed):
+def test_ids_equal_the_tokenizer(ids, plain, seed):
     r = random.Random(seed)
     texts = ["".join(r.choice(BITS) for _ in range(r.randint(0, 14))) for _ in range(400)]
-    assert ids(texts) == [ids.encode([t])[0] for t in texts]
+    assert [ids(t) for t in texts] == [plain(t) for t in texts]
+
+
+def test_ids_of_every_code_point(ids, plain):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 512):
+        text = "".join(f"a{c}b {c}{c}1{c}. {c}" for c in points[i : i + 512])
+        assert ids(text) == plain(text)
+
+
+def test_ids_of_long_runs(ids, plain):
+    for text in (" " * 50_000, "a" * 20_000, " \n" * 20_000 + "x", "!" * 20_000, "7" * 20_000, "the " * 20_000):
+        assert ids(text) == plain(text)
 
 
-def test_memory_of_words_is_bounded(ids):
-    small = packing.Ids(packing.default_tokenizer(), remember=10)
-    for i in range(20):
-        texts = [f"a{i} b{i}, c{i}.", "a b c"]
-        assert small(texts) == ids(texts)
-    assert len(small.later) < 30
+def test_place_takes_the_cheapest_sequence_with_room():
+    r = random.Random(3)
+    lengths = sorted((r.randint(1, 1023) for _ in range(900)), reverse=True)
+    used, dear, count = {}, {}, -(-sum(lengths) // 1024)
+    for i, start, n, k, offset in packing.place(lengths):
+        if n < lengths[i]:
+            break  # no sequence had room: cut, after all others
+        fits = [(dear.get(x, 0.0), x) for x in range(count) if 1024 - used.get(x, 0) >= n]
+        assert (start, offset) == (0, used.get(k, 0))
+        assert min(fits)[1] == k
+        used[k], dear[k] = used.get(k, 0) + n, dear.get(k, 0.0) + packing.cost(n)
 
 
 @given(st.lists(st.integers(1, 63), max_size=60))
@@ -66,7 +90,7 @@ def test_round_trip(spark, ids, parts, block):
     rows = packing.pack(df, block=block).collect()
     full: dict = {}
     for d, t in docs:
-        full.setdefault(d, []).append(ids.encode([t or ""])[0] + b"\0\0\0\0")
+        full.setdefault(d, []).append(ids(t or "") + b"\0\0\0\0")
     total = sum(len(x) // 4 for v in full.values() for x in v)
     assert sum(p.length for p in rows) == total
     for p in rows:
