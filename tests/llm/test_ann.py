@@ -40,18 +40,53 @@ def test_ties_few_rows_and_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (7, [2.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0]), (50, [3.0, 0.0]), (8, None), (9, [0.0, 0.0]), (10, [nan, 1.0]), (11, [inf, 1.0]), (12, [None, 1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (150, [])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     got = ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.vec_id) for r in got] == [(0, 3), (0, 7), (0, 50), (0, 5), (50, 0), (50, 3), (50, 7), (50, 5)]
-    assert [r.rank for r in got] == [1, 2, 3, 4] * 2 and got[0].score == 1.0 and got[3].score == 0.0
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 3), (0, 7), (0, 50), (0, 100), (0, 5), (50, 0), (50, 3), (50, 7), (50, 100), (50, 5), (100, 5), (100, 0), (100, 3), (100, 7), (100, 50)]
+    assert [r.rank for r in got] == [1, 2, 3, 4, 5] * 3 and got[0].score == 1.0 and got[4].score == 0.0 and got[3].score == 1 / 14**0.5
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_pigeonhole_finds_every_code_in_the_radius():
+def test_vectors_whose_squares_vanish_or_overflow(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(120, 8))
+    size = np.array([1e-200, 1.0, 1e200, 5e-310])[np.arange(120) % 4]
+    got: dict = {}
+    for row in ann.nearest(frame64(spark, np.arange(120), x * size[:, None]), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+        assert np.isfinite(row.score)
+    want = brute(np.arange(120), x)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def frame64(spark, ids, x):
+    return spark.createDataFrame([(int(i), [float(e) for e in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+
+
+def test_probing_is_complete_by_the_pigeonhole_principle():
     r = np.random.default_rng(1)
     codes = r.integers(0, 1 << 16, (4000, 4)).astype(np.uint16)
-    near = codes[0] ^ np.array([1, 0, 3, 0], np.uint16)
-    codes[17] = near
+    codes[17] = codes[0] ^ np.array([1, 0, 3, 0], np.uint16)
     shard = ann.Shard(codes)
-    for radius in (0, 1, 3, 5, 14, 26, 64):
-        true = np.flatnonzero(ann.ONES[codes ^ codes[0]].sum(axis=1) <= radius)
-        assert shard.within(codes[0], radius).tolist() == true.tolist()
+    for reach in (0, 1, 2, 3, 16):
+        rows, far = shard.probe(codes[0], reach), ann.ONES[codes ^ codes[0]]
+        assert rows.tolist() == np.flatnonzero((far <= reach).any(axis=1)).tolist()
+        assert set(np.flatnonzero(far.sum(axis=1, dtype=int) <= 4 * (reach + 1) - 1).tolist()) <= set(rows.tolist())
+
+
+def test_fit_finds_its_recall_by_a_small_share():
+    """Vectors spread evenly over a sphere, the hardest case, and clusters."""
+    r = np.random.default_rng(2)
+    even = r.normal(size=(8000, 64))
+    for x, most in ((even, 0.2), (even[:8000] * 0.3 + 3 * r.normal(size=(40, 64))[r.integers(0, 40, 8000)], 0.1)):
+        codes = ann.Codes(x)
+        recall, share = codes.learn(x, 5)
+        assert recall >= ann.RECALL and share <= most
+        index, probed, hits = ann.Index(np.arange(8000), x, codes), [], []
+        for q in range(0, 8000, 200):
+            rows = index.shard.probe(codes(x[[q]])[0], codes.reach)
+            u = ann.unit(x)
+            s = u @ u[q]
+            s[q] = -2
+            hits.append(np.isin(np.argsort(-s)[:5], rows).mean())
+            probed.append(len(rows) / 8000)
+        assert np.mean(hits) >= 0.9 and np.mean(probed) <= most
