@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), with docs as its predecessor left them in Parquet, and returns what
-stays; all but the last return the columns of documents.
+stays; all but the last return the columns of documents, and other columns of docs don't go on. Any column
+may be null; an empty table gives an empty one. What each stage makes of nulls, ties and repeated rows is in
+its docstring; where rows are told apart, it is by all their columns, as ids may repeat.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or in no language that stands out go."""
+    """Documents without letters, null and empty texts among them, or in no language that stands out go. Where
+    two languages tie, neither stands out. Repeated rows stay or go alike; null languages teach nothing, and
+    where nothing can be learned all go."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs.filter(~held_out("doc_id", 4, 2)).select("lang", "text"))
@@ -29,35 +33,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go from the texts; every document stays, and keeps its text
-    if all of it would go. Copies of a text count once, so that a group of them is left to near_duplicates."""
+    if all of it would go. Copies of a text count once, so that a group of them is left to near_duplicates.
+    Repeated rows are cleaned alike; null texts stay null, and a null source is one source."""
     ship(spark)
     clean = linededup.drop_boilerplate(docs.select(*COLUMNS), "source", distinct=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays, once."""
+    """Of each group of linked documents, the one with the smallest id stays, null ids first, among equal ids the
+    one with the smallest digest of its text, and of rows equal in both, one. Texts without words are linked to
+    none: each stays, once an id."""
     ship(spark)
-    found = jaccard.join(docs.select("doc_id", "text"))
+    named = docs.select(*COLUMNS).withColumn("name", F.struct("doc_id", F.unhex(F.md5("text")).alias("digest")))
+    found = jaccard.join(named.select(F.col("name").alias("doc_id"), "text"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("of")).distinct()
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    rows = named.join(kept, F.col("name").eqNullSafe(F.col("of")), "left_semi")
+    rest = F.struct(*(F.col(c) for c in COLUMNS if c not in ("doc_id", "text")))  # rows that differ in these only: the least stays
+    one = rows.groupBy("name").agg(F.min(F.struct(rest.alias("rest"), "text")).alias("one"))
+    return one.select(F.col("name.doc_id").alias("doc_id"), F.col("one.text").alias("text"), *(f"one.rest.{c}" for c in COLUMNS if c not in ("doc_id", "text"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it, to the nearest whole copy."""
+    """Each document stands as often as the mix takes it, to the nearest whole copy; rows equal in all columns
+    share what the mix takes of them. Null texts and texts without words are not taken; a null source is one
+    source. Reruns agree: rows of one id and size stand in the mix by a digest of all columns."""
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    taken = mixing.taken(docs.select("doc_id", "source", "text")).dropDuplicates(["doc_id", "source", "size"])
-    taken = taken.filter("size > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.TOKEN)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))
-    rows = sized.join(taken.filter("copies > 0"), same)
+    named = docs.select(*COLUMNS).withColumn("name", F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary")))
+    taken = mixing.taken(named.select("doc_id", "source", "text", "name"), carry=("name",)).filter("size > 0")
+    times = taken.groupBy(F.col("name").alias("of")).agg(F.round(F.sum("taken") / F.max("size")).cast("int").alias("copies")).filter("copies > 0")
+    rows = named.join(times, F.col("name") == F.col("of")).dropDuplicates(["name"])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of at most 1024 tokens."""
+    """The pieces of the documents in sequences of at most 1024 tokens. Null and empty texts are a closing id;
+    repeated rows are documents of their own."""
     ship(spark)
     return packing.pack(docs.select("doc_id", "text"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,7 +40,17 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._millrace_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -57,16 +70,39 @@ def batches(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-_KEPT: dict = {}
+class Bounded:
+    """What a task remembers of words, in ``of``, and nothing after it: ``room(words)`` makes room for new ones,
+    emptying all when their bytes, with ``each`` for every entry, would pass ``most``."""
+
+    def __init__(self, each: int = 200, most: int = 64 << 20):
+        self.of: dict = {}  # a plain one: sets are compared with it by its own lookups
+        self.each, self.most, self.size = each, most, 0
+
+    def room(self, words) -> bool:
+        """Whether all had to go."""
+        more = sum(map(len, words)) * 2 + len(words) * self.each
+        gone = bool(self.of) and self.size + more > self.most
+        if gone:
+            self.of.clear()
+            self.size = 0
+        self.size += more
+        return gone
+
+
+def frugal(run):
+    """run, a task's work on a stream of batches, giving back to the system what it held: Spark uses a worker
+    again, and memory that the next task can't see would add up."""
 
+    def work(source):
+        try:
+            yield from run(source)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
-def kept(name: tuple, make):
-    """What a Python worker keeps from task to task, of one operator at a time: the next operator's tasks drop
-    it, so that the stages of a pipeline don't add up in a worker that Spark uses again."""
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = make()
-    return _KEPT[name]
+    return work
 
 
 def held_out(column: str, modulus: int, remainder: int):

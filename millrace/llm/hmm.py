@@ -3,16 +3,19 @@
 Tokens are lower-cased words and one end. A state emits a token's class, and the class emits the token: the
 OWN most frequent words are classes of their own, all others fall into RARE classes by a hash, within which
 a word has (c + 1) / (n + v + 1) of n training tokens and v distinct words, the last share being that of
-any unseen word. States are trained by Baum-Welch: the training documents are dealt to SHARDS parts, each
-part's expected counts are computed under the latest parameters, summed over partitions and added to the
-halved counts so far, so that every training document counts once. Scoring is the scaled forward recursion:
-exact sequence likelihood, no sampling, no cut texts.
-
-Plan: word counts are summed map-side and by shuffle over all training documents. At most TOP words, the
-most frequent ones of at most LONG bytes, are broadcast with their counts: a fixed bound. The scoring pass
+any unseen word. States are trained by Baum-Welch: WARM passes over a part each (expected counts under the
+latest parameters, added to the halved counts so far) only bring the states apart; then FULL iterations follow,
+each with the expected counts of all training documents under one set of parameters, and nothing else in the
+next, so that every training document counts alike. Scoring is the scaled forward recursion: exact sequence
+likelihood, no sampling, no cut texts.
+
+Plan: word counts are summed map-side and by shuffle over all training documents. The TOP most frequent words
+are broadcast with their counts, words of over LONG bytes by a digest: a fixed bound. Training documents are
+turned into class numbers once, two bytes a token, and written; an iteration reads those. The scoring pass
 reads each document once and emits a head row and one row for each of its other distinct words, which get
-their counts by a shuffled join on the word; such words are rare by choice, so no key is hot. Documents run
-side by side as arrays, longest first. What returns to the driver is (OWN + RARE) x STATES sums a shard.
+their counts by a shuffled join on the word; such words are rare by choice, so no key is hot. Documents of
+like length run side by side as arrays, longest first. What returns to the driver is (OWN + RARE) x STATES
+sums an iteration.
 
 Cases: null and empty texts are the end alone; ids may repeat or be null: equal rows are scored once and
 returned as often as they stand; an id that is null is not held out; without training tokens base_score
@@ -21,6 +24,7 @@ and score are both 0; extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -30,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, held_out, only, read, stash, texts
+from millrace.llm.common import batches, discard, frugal, held_out, only, read, stash, texts
 
-STATES, OWN, RARE, TOP, LONG, SHARDS, KEEP, SEED = 8, 8192, 4096, 200_000, 64, 5, 0.5, 7
-TOGETHER = 1 << 19
+STATES, OWN, RARE, TOP, LONG, WARM, FULL, KEEP, SEED = 8, 8192, 4096, 200_000, 64, 4, 2, 0.5, 7
+#: Tokens that are handled side by side, and the lengths at which documents part ways.
+TOGETHER, LENGTHS = 1 << 18, (600, 3000)
+#: Letters of text after which a task passes on the words that it has counted.
+FLUSH = 32 << 20
 END = ""
 
 
@@ -46,37 +53,46 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def run(source):
         held: Counter = Counter()
+        size = 0
         for batch in batches(source):
             for text in texts(batch.column(0)):
                 held.update(tokens(text))
                 held[b""] += 1
-            if len(held) > 1_000_000:
+                size += len(text)
+            if len(held) > 500_000 or size > FLUSH:
                 yield table(held)
                 held.clear()
+                size = 0
         yield table(held)
 
     def table(held):
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(frugal(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def short(word: bytes) -> bytes:
+    """What stands for a word of over LONG bytes; no token has a space."""
+    return b" " + hashlib.md5(word).hexdigest().encode()
 
 
 class Vocabulary:
-    """The most frequent words, the classes, and how many tokens and words each rare class has."""
+    """The most frequent words as (word or what is short for it, count, crc32), the classes, and how many tokens
+    and words each rare class has."""
 
-    def __init__(self, words: list[tuple[str, int]], tokens: int, distinct: int, rare: dict[int, tuple[int, int]], own: int = OWN):
+    def __init__(self, words: list[tuple[str, int, int]], tokens: int, distinct: int, rare: dict[int, tuple[int, int]], own: int = OWN):
         self.own = own
         words = sorted((x for x in words if x[0] != END), key=lambda x: (-x[1], x[0]))
         self.total, self.distinct = tokens, distinct
-        self.index = {w.encode(): i for i, (w, _) in enumerate(words)}
-        self.c = np.array([c for _, c in words], dtype=np.int64)
-        self.classes = np.array([1 + i if i < own else self.rare_class(w.encode()) for i, (w, _) in enumerate(words)], dtype=np.int32)
+        self.index = {w.encode(): i for i, (w, _, _) in enumerate(words)}
+        self.c = np.array([c for _, c, _ in words], dtype=np.int64)
+        self.classes = np.array([1 + i if i < own else 1 + own + crc % RARE for i, (_, _, crc) in enumerate(words)], dtype=np.int32)
         self.n, self.v = np.zeros(RARE), np.zeros(RARE)
         for k, (n, v) in rare.items():
             self.n[k], self.v[k] = n, v
-        for w, c in words[:own]:
-            self.n[zlib.crc32(w.encode()) % RARE] -= c
-            self.v[zlib.crc32(w.encode()) % RARE] -= 1
+        for _, c, crc in words[:own]:
+            self.n[crc % RARE] -= c
+            self.v[crc % RARE] -= 1
         emit = np.log10((self.c + 1) / (self.n + self.v + 1)[np.maximum(self.classes - 1 - own, 0)])
         self.emit = np.where(self.classes <= own, 0.0, emit)
         self.base = np.log10((self.c + 1) / self.whole)
@@ -90,7 +106,11 @@ class Vocabulary:
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        for i in np.flatnonzero(at < 0).tolist():
+            if len(words[i]) > LONG:
+                at[i] = get(short(words[i]), -1)
+        return at
 
     def class_of(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
         """The classes of the words and of the end."""
@@ -108,14 +128,16 @@ def learn_vocabulary(counts: DataFrame, top: int = TOP, own: int = OWN) -> tuple
     of = F.crc32(F.col("word").cast("binary")) % RARE
     level = F.floor(F.log2("c") * 8)
     rows = counts.groupBy(of.alias("of"), (F.col("word") == END).alias("end")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    short = counts.filter((F.col("word") != END) & (F.octet_length("word") <= LONG))
+    real = counts.filter(F.col("word") != END)
     room, least = top, None
-    for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["level"]):
+    for r in sorted(real.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["level"]):
         room -= r["v"]
         if room < 0:
             break
         least = r["level"]
-    words = [] if least is None else [(r["word"], r["c"]) for r in short.filter(level >= least).select("word", "c").collect()]
+    key = F.when(F.octet_length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit(" "), F.md5(F.col("word").cast("binary"))))
+    frequent = real.filter(level >= least).select(key.alias("key"), "c", F.crc32(F.col("word").cast("binary")).alias("crc")) if least is not None else None
+    words = [] if frequent is None else [tuple(r) for r in frequent.collect()]
     rare = {r["of"]: (r["n"], r["v"]) for r in rows if not r["end"]}
     ends = sum(r["n"] for r in rows if r["end"])
     return Vocabulary(words, sum(r["n"] for r in rows), sum(r["v"] for r in rows), rare, own), ends
@@ -201,24 +223,39 @@ class Model:
         return alphas[steps[0]].sum(axis=0), move * self.move, emit
 
 
-def together(source, column: int, vocabulary: Vocabulary):
-    """(batch, words, positions in the top words, classes) of documents with about TOGETHER tokens."""
-    for batch in batches(source, 4096):
-        held, size, first = [], 0, 0
-        for i, text in enumerate(texts(batch.column(column))):
-            words = tokens(text)
-            at = vocabulary.lookup(words)
-            held.append((words, at, vocabulary.class_of(words, at)))
-            size += len(words) + 1
-            if size >= TOGETHER:
-                yield batch.slice(first, len(held)), held
-                held, size, first = [], 0, i + 1
-        if held:
-            yield batch.slice(first, len(held)), held
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, shards: int = SHARDS) -> Model:
-    """docs: doc_id, text, only those that may teach."""
+def together(items):
+    """Lists of items (length, ...) of like length, with about TOGETHER tokens each."""
+    held, sizes = [[] for _ in range(len(LENGTHS) + 1)], [0] * (len(LENGTHS) + 1)
+    for item in items:
+        k = sum(item[0] > n for n in LENGTHS)
+        held[k].append(item)
+        sizes[k] += item[0]
+        if sizes[k] >= TOGETHER:
+            yield held[k]
+            held[k], sizes[k] = [], 0
+    yield from filter(None, held)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """shard, classes: the class numbers of each document with a column text; documents are dealt in turn."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(source):
+        v, n = shared.value, 0
+        for batch in batches(source):
+            classes = []
+            for text in texts(batch.column(0)):
+                words = tokens(text)
+                classes.append(v.class_of(words, v.lookup(words)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array((n + np.arange(len(classes))) % shards, pa.int32()), pa.array(classes, pa.binary())], ["shard", "classes"])
+            n += len(classes)
+
+    assert 1 + vocabulary.own + RARE <= 1 << 16
+    return docs.select("text").mapInArrow(frugal(run), "shard int, classes binary")
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, warm: int = WARM, full: int = FULL) -> Model:
+    """docs: text, only those that may teach."""
     own = vocabulary.own
     unigrams = np.zeros(1 + own + RARE)
     unigrams[0] = ends
@@ -226,27 +263,37 @@ def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, shards: int = SHAR
     unigrams[1 + own :] = vocabulary.n
     unigrams = (unigrams + 1) / (unigrams + 1).sum()
     model, sc = Model.begin(unigrams), docs.sparkSession.sparkContext
-    shared, kept = sc.broadcast(vocabulary), None
-    for shard in range(shards):
+    encoded, names = stash(encode(docs, vocabulary, max(1, warm))), [f"s{k}" for k in range(STATES)]
+
+    def counted(part: DataFrame, model: Model) -> np.ndarray:
+        """Expected counts of starts, moves and emissions of these documents, one below the other."""
+        now = sc.broadcast(model)
 
-        def step(source, now=sc.broadcast(model)):
-            m, v, sums = now.value, shared.value, None
-            for _, held in together(source, 0, v):
-                got = m.expected(Lanes([classes for _, _, classes in held]))
+        def step(source):
+            m, sums = now.value, None
+            items = ((len(x) // 2, x) for batch in batches(source) for x in batch.column(0).to_pylist())
+            for held in together(items):
+                got = m.expected(Lanes([np.frombuffer(x, "<u2").astype(np.int32) for _, x in held]))
                 sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
             if sums is not None:
                 flat = np.concatenate([sums[0][None], sums[1], sums[2]])
                 at = np.flatnonzero(flat.any(axis=1))
-                columns = [pa.array(at, pa.int32()), *(pa.array(flat[at, k]) for k in range(STATES))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", *(f"s{k}" for k in range(STATES))])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(flat[at, k]) for k in range(STATES))], ["row", *names])
 
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) == shard).select("text")
-        sums = part.mapInArrow(step, "row int, " + ", ".join(f"s{k} double" for k in range(STATES)))
-        got = sums.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()
+        sums = part.select("classes").mapInArrow(frugal(step), "row int, " + ", ".join(f"{k} double" for k in names))
+        got = sums.groupBy("row").agg(*(F.sum(k).alias(k) for k in names)).toPandas()
         flat = np.zeros((1 + STATES + len(unigrams), STATES))
-        flat[got["row"].to_numpy(dtype=int)] = got[[f"s{k}" for k in range(STATES)]].to_numpy()
-        kept = flat if kept is None else KEEP * kept + flat
-        model = Model.of(kept[0], kept[1 : 1 + STATES], kept[1 + STATES :], unigrams)
+        flat[got["row"].to_numpy(dtype=int)] = got[names].to_numpy()
+        return flat
+
+    of = lambda x: Model.of(x[0], x[1 : 1 + STATES], x[1 + STATES :], unigrams)
+    so_far = np.zeros((1 + STATES + len(unigrams), STATES))
+    for shard in range(warm):
+        so_far = KEEP * so_far + counted(encoded.filter(F.col("shard") == shard), model)
+        model = of(so_far)
+    for _ in range(full):
+        model = of(counted(encoded, model))
+    discard(encoded)
     return model
 
 
@@ -261,21 +308,27 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, ends: int,
 
     def run(source):
         v, m = shared.value, trained.value
-        for batch, held in together(source, 2, v):
-            logs = m.log10(Lanes([classes for _, _, classes in held])) if v.total else np.zeros(len(held))
-            ids, out, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+
+        def items():
+            for batch in batches(source):
+                who = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                for one, text in zip(who, texts(batch.column(2)), strict=True):
+                    words = tokens(text)
+                    at = v.lookup(words)
+                    rest = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()])
+                    yield len(words) + 1, one, at[at >= 0], rest, v.class_of(words, at)
+
+        for held in together(items()):
+            logs = m.log10(Lanes([x[-1] for x in held])) if v.total else np.zeros(len(held))
             rows = []
-            for i, (words, at, _) in enumerate(held):
-                top = at[at >= 0]
-                rest = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()])
-                head = (1, len(words) + 1, len(top) + (ends > 0), end + float(v.base[top].sum()), float(logs[i]) + float(v.emit[top].sum()))
-                who = (ids[i], out[i], keys[i])
-                rows.append((*who, f" {ids[i]} {keys[i]}", 0, *head))  # no token has a space: such a row finds no count
+            for (size, who, top, rest, _), log in zip(held, logs.tolist(), strict=True):
+                head = (1, size, len(top) + (ends > 0), end + float(v.base[top].sum()), log + float(v.emit[top].sum()))
+                rows.append((*who, f" {who[0]} {who[2]}", 0, *head))  # no token has a space: such a row finds no count
                 rows += [(*who, w.decode("utf-8", "replace"), n, 0, 0, 0, 0.0, 0.0) for w, n in rest.items()]
             for k in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000], strict=True), TYPES, strict=True)], NAMES)
 
-    seen = docs.select("doc_id", "held_out", "text", F.xxhash64("text", "held_out").alias("key")).mapInArrow(run, HEAD)
+    seen = docs.select("doc_id", "held_out", "text", F.xxhash64("text", "held_out").alias("key")).mapInArrow(frugal(run), HEAD)
     whole = pd.DataFrame({"of": np.arange(RARE), "class_whole": vocabulary.n + vocabulary.v + 1})
     known = counts.withColumnsRenamed({"word": "counted", "c": "seen"}).hint("shuffle_hash")
     rows = seen.join(known, F.col("word") == F.col("counted"), "left")

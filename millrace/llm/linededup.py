@@ -13,8 +13,8 @@ With ``distinct`` each text of a host counts as one page in both terms, and a pa
 lines keeps them: copies of a page, exact or near, don't make its own lines boilerplate and vanish together.
 
 Cases: a null text stays null, with no lines; an empty or blank line is never boilerplate; null hosts are
-one host of their own; repeated rows count as pages of their own; other columns stay as they are; an empty
-table gives an empty one.
+one host of their own; repeated rows count as pages of their own; other columns stay as they are, whatever
+their names, but that __lines and __dropped are the counts; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """host, bad: the hashes of the lines that exceed the ratio on that host."""
-    page = pages.select(F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
+    body = F.col(f"`{text}`")
+    page = pages.select(F.col(f"`{host}`").alias("host"), F.split(body, "\n").alias("lines"), *([_key(body).alias("page")] if distinct else []))
     kept = F.filter("lines", lambda x: F.trim(x) != "")
-    seen = page.select("host", F.explode(F.array_distinct(F.transform(kept, _key))).alias("line"))
+    seen = page.select("host", *(["page"] if distinct else []), F.explode(F.array_distinct(F.transform(kept, _key))).alias("line"))
+    if distinct:  # a text's hash goes with its lines, not the text
+        seen, page = seen.distinct(), page.select("host", "page").distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     totals = page.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of")
     over = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > F.lit(ratio) * F.col("pages"))
@@ -44,22 +47,23 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """The pages with ``text`` cleaned; __lines and __dropped count the lines before and those that went."""
-    if distinct:
-        digest = F.unhex(F.sha2(F.col(f"`{text}`"), 256))
-        each = pages.groupBy(F.col(f"`{host}`"), digest.alias("__digest")).agg(F.first(F.col(f"`{text}`")).alias(text))
-    bad = stash(boilerplate(each if distinct else pages, host, text, ratio, min_pages))
-    spread = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
-    salted = pages.withColumn("__salt", F.pmod(F.xxhash64(*(f"`{c}`" for c in pages.columns)), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, F.col(f"`{host}`").eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__part")), "left")
+    # only the columns that are used get new names, which no column of the input has
+    free = lambda name: next(x for x in (name + "_" * n for n in range(len(pages.columns) + 1)) if x not in pages.columns)
+    of, gone, part, salt, clean = (free(f"__{x}") for x in ("host", "bad", "part", "salt", "clean"))
+    bad = stash(boilerplate(pages, host, text, ratio, min_pages, distinct))
+    spread = bad.select(F.col("host").alias(of), F.col("bad").alias(gone), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part))
+    salted = pages.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (host, text))), F.lit(SALTS)).cast("int"))
+    joined = salted.join(spread, F.col(f"`{host}`").eqNullSafe(F.col(of)) & (F.col(salt) == F.col(part)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    clean = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__bad", _key(x))))
+    left = F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(gone, _key(x))))
     if distinct:
-        clean = F.when(F.exists(clean, lambda x: F.trim(x) != ""), clean).otherwise(lines)
-    before = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = joined.withColumns({"__lines": F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(before).cast("long"), "__clean": clean})
-    gone = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.col("__lines") - F.size("__clean")).cast("long")
-    out = out.withColumns({"__dropped": gone, text: F.array_join("__clean", "\n")})
-    return out.select(*(f"`{c}`" for c in pages.columns), "__lines", "__dropped")
+        left = F.when(F.exists(left, lambda x: F.trim(x) != ""), left).otherwise(lines)
+    out = joined.withColumn(clean, left)
+    none = F.col(f"`{text}`").isNull()
+    before = F.when(none, F.lit(0)).otherwise(F.size(lines)).cast("long")
+    dropped = F.when(none, F.lit(0)).otherwise(F.size(lines) - F.size(clean)).cast("long")
+    kept = [F.array_join(clean, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in ("__lines", "__dropped")]
+    return out.select(*kept, before.alias("__lines"), dropped.alias("__dropped"))
 
 
 def query(spark, sf_dir):

@@ -11,7 +11,8 @@ source's words; the excess is shared among the others by weight until none is ab
 Plan: everything is counted in two levels, so no window holds a whole source: hash ranges of documents
 within a source and chunks of consecutive slots get per-chunk sums, prefix sums run over those sums only,
 and the rows are ranked within a chunk. The join of documents with slots is on (source, block), a unique
-key on the schedule's side. Only the sources' totals go to the driver: one row a source.
+key on the schedule's side. Only the sources' totals go to the driver: one row a
+source, and their table is broadcast up to FEW sources only.
 
 Block size: ``block`` words, less for a small corpus, so that there are at least ``slots`` slots and
 rounding a source to whole blocks stays near its target.
@@ -32,6 +33,8 @@ from millrace.llm.common import TOKEN, only, read, stash
 
 PHI, BLOCK, SLOTS, MOST, WEIGHTS = 0.6180339887498949, 1024, 20_000, 3, (1.0, 2.0, 3.0)
 CHUNK = 1 << 14
+#: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
+FEW = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -72,39 +75,44 @@ def schedule(spark: SparkSession, goals: list[float], block: int) -> DataFrame:
     return points.withColumn("within", within).join(base, ["k", "chunk"]).select("slot", "k", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def lay_out(sized: DataFrame, seed: int) -> DataFrame:
-    """Adds ``at``: the words before this document in its source's shuffled line."""
+def light(sources: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(sources) if n <= FEW else sources
+
+
+def lay_out(sized: DataFrame, seed: int, carry: tuple = ()) -> DataFrame:
+    """Adds ``at``: the words before this document in its source's shuffled line. Documents of one id stand by
+    their size, then by the columns to carry."""
     keyed = sized.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")))
     keyed = keyed.withColumn("bucket", F.substring("h", 1, 3))
     sums = keyed.groupBy("k", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("k", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return placed.join(base, ["k", "bucket"]).select("doc_id", "k", "size", (F.col("base") + F.col("inner")).alias("at"))
+    return placed.join(base, ["k", "bucket"]).select("doc_id", "k", "size", *carry, (F.col("base") + F.col("inner")).alias("at"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = 42):
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = 42, carry: tuple = ()):
     """(assignment, placed, sources) of documents with columns doc_id, source, text.
 
     assignment: doc_id, k, at, epoch, slot, start, words: the slot of the mix takes these words of the
-    document. placed: doc_id, k, size, at. sources: k, source, source_size, target."""
+    document. placed: doc_id, k, size, the columns to carry, at. sources: k, source, source_size, target."""
     spark = docs.sparkSession
-    sized = stash(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size")))
+    sized = stash(docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size")))
     found = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
     sizes = [n for _, n in found]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     rows = [(i, s, n, float(t)) for i, ((s, n), t) in enumerate(zip(found, goals, strict=True))]
     sources = spark.createDataFrame(rows, "k int, source string, source_size long, target double")
-    keyed = sized.join(F.broadcast(sources.select("k", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "k", "size")
-    placed = stash(lay_out(keyed, seed))
+    keyed = sized.join(light(sources.select("k", F.col("source").alias("of")), len(rows)), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "k", "size", *carry)
+    placed = stash(lay_out(keyed, seed, carry))
 
     total = sum(sizes)
     block = max(1, min(block, total // slots))
     plan = schedule(spark, goals, block) if total else spark.createDataFrame([], "slot long, k int, rank long")
     lines = sources.select("k", F.col("source_size").alias("line"), F.ceil(F.col("target") / block + 16).alias("blocks"))
-    long = placed.filter("size > 0").join(F.broadcast(lines), "k")
+    long = placed.filter("size > 0").join(light(lines, len(rows)), "k")
     epochs = F.least(F.lit(most), F.ceil(F.col("blocks") * block / F.col("line"))).cast("int")
     turns = long.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1))).withColumn("start", F.col("epoch") * F.col("line") + F.col("at"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -115,13 +123,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int
     return pieces.join(plan, ["k", "rank"]).drop("rank"), placed, sources
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken: the words the mix takes of each document, repeats counted."""
-    assignment, placed, sources = mix(docs, **options)
+def taken(docs: DataFrame, carry: tuple = (), **options) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken: the words the mix takes of each document,
+    repeats counted; and the columns to carry."""
+    assignment, placed, sources = mix(docs, carry=carry, **options)
     got = assignment.groupBy(F.col("k").alias("of"), F.col("at").alias("there")).agg(F.sum("words").alias("got"))
     rows = placed.join(got, (F.col("size") > 0) & (F.col("k") == F.col("of")) & (F.col("at") == F.col("there")), "left")
-    rows = rows.select("doc_id", "k", "size", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
-    return rows.join(F.broadcast(sources), "k").select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = rows.select("doc_id", "k", "size", *carry, F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(light(sources, sources.count()), "k").select("doc_id", "source", "size", "source_size", "target", "taken", *carry)
 
 
 def query(spark, sf_dir):

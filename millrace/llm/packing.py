@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import batches, only, read
+from millrace.llm.common import batches, frugal, only, read
 
 SEQ, BLOCK, LINEAR, QUADRATIC = 1024, 1 << 20, 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, block: i
         end()
         yield table(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), SCHEMA)
 
 
 def table(rows: list) -> pa.RecordBatch:

@@ -46,7 +46,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTS = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+IBAN = re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b))")
 SSN = re.compile(r"\b(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b", re.ASCII)
 NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -109,12 +109,15 @@ def mod97(iban: str) -> bool:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """The longest run of groups after a country code and check digits that passes mod-97."""
+    """The longest run of groups after a country code and check digits that passes mod-97. Every place where one
+    may begin is tried, so that a candidate that fails hides none that begins within it."""
+    after = 0
     for m in IBAN.finditer(text):
-        whole = m[0]
-        for end in sorted({len(whole), *(x.start() for x in re.finditer(" ", whole))}, reverse=True):
+        whole = m[1]
+        for end in sorted({len(whole), *(x.start() for x in re.finditer(" ", whole))}, reverse=True) if m.start() >= after else ():
             if len(whole[:end].replace(" ", "")) >= 15 and mod97(whole[:end]):
-                yield m.start(), m.start() + end
+                after = m.start() + end
+                yield m.start(), after
                 break
 
 

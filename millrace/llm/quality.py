@@ -2,29 +2,32 @@
 
 Two zstandard dictionaries are built from texts with label 1 and label 0. A text is cut into chunks of
 CHUNK bytes, so that the dictionary and not the text's own past decides, and each is compressed with both.
-The normalised difference (bad - good) / (bad + good) of the summed sizes, with the compressed share of the
-text, goes through a logistic calibration fitted on labelled texts that built no dictionary.
+The normalised difference (bad - good) / (bad + good) of the summed sizes, with the compressed share and the
+length of the text (words said over and over are in neither dictionary), goes through a logistic calibration fitted on labelled texts that built no dictionary.
 
-Learning takes a bounded sample: at most SAMPLE labelled rows a class, the first by a hash of the id, half
-for the dictionaries and half for the calibration, at most PARTS evenly spread chunks of each. The sample's
-ids are the only thing broadcast besides the two dictionaries; scoring is one pass without a shuffle.
+Learning takes a bounded sample: at most SAMPLE labelled ids a class, the first by a hash of the id, with their
+whole texts, half for the dictionaries and half for the calibration. Each dictionary is built in one task from
+its class's texts; what the calibration needs is computed where the texts are, so that two dictionaries and
+a few numbers a sampled row are all that comes to the driver. The sample's ids and the dictionaries are all
+that is broadcast; scoring is one pass without a shuffle.
 
 Cases: a null or empty text, and every text where labels of one class only were learned, scores the rate of
-label 1 in the sample, 0.5 without labels; null labels and null ids teach nothing; an id labelled twice
-teaches twice; repeated rows are scored alike; extra columns are not read; an empty table gives no rows.
+label 1 in the sample, 0.5 without labels; null labels and null ids teach nothing; an id with both
+labels teaches both, and one that several texts have teaches by the least of them; repeated rows are scored alike; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, held_out, only, read, texts
+from millrace.llm.common import batches, discard, held_out, only, read, stash, texts
 
-SAMPLE, CHUNK, PARTS, DICTIONARY, CUT = 4000, 2048, 32, 112_640, 0.3
+SAMPLE, CHUNK, DICTIONARY, CUT, RIDGE = 4000, 2048, 112_640, 0.3, 0.1
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -32,11 +35,6 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
 
 
-def spread(text: bytes) -> list[bytes]:
-    parts = chunks(text)
-    return [parts[i] for i in sorted({int(x) for x in np.linspace(0, len(parts) - 1, PARTS)})] if len(parts) > PARTS else parts
-
-
 def dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstd.train_dictionary(DICTIONARY, samples).as_bytes()
@@ -66,44 +64,54 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Logistic weights by Newton's method."""
-    w = np.zeros(x.shape[1])
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Logistic weights by Newton's method, features on one scale; the first feature is 1 and bears no penalty."""
+    size = np.append(1.0, x[:, 1:].std(axis=0) + 1e-12)
+    mean = np.append(0.0, x[:, 1:].mean(axis=0))
+    z, w, penalty = (x - mean) / size, np.zeros(x.shape[1]), np.append(1e-6, np.full(x.shape[1] - 1, ridge))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
         w = w + move
         if np.abs(move).max() < 1e-9:
             break
-    return w
+    w = w / size
+    return np.append(w[0] - mean[1:] @ w[1:], w[1:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. labels: doc_id, label; rows of both that may teach."""
-    marked = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    marked = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     order = F.xxhash64("doc_id")
     first = [marked.filter(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(first[0].unionByName(first[1]).withColumnRenamed("doc_id", "of"))
-    rows = docs.join(picked, F.col("doc_id") == F.col("of")).select("doc_id", "label", "text")
-    rows = rows.mapInArrow(shorten, "doc_id long, label int, parts array<binary>").collect()
-    rows = sorted((r for r in rows if r["parts"]), key=lambda r: (r["doc_id"], r["label"], r["parts"]))
-    y = np.array([r["label"] for r in rows])
-    rate = float(y.mean()) if len(y) else 0.5
-    teach = [r for k in (0, 1) for r in [r for r in rows if r["label"] == k][::2]]
-    rest = [r for k in (0, 1) for r in [r for r in rows if r["label"] == k][1::2]]
-    if len({r["label"] for r in teach}) < 2 or len({r["label"] for r in rest}) < 2:
+    rows = docs.join(picked, F.col("doc_id") == F.col("of")).filter("text != ''").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("doc_id")) % 2  # a bounded sample
+    rows = stash(rows.withColumn("builds", turn == 1))
+    seen = {(r["label"], r["builds"]): r["n"] for r in rows.groupBy("label", "builds").agg(F.count("*").alias("n")).collect()}
+    whole = sum(seen.values())
+    rate = sum(n for (k, _), n in seen.items() if k == 1) / whole if whole else 0.5
+    if len(seen) < 4:
+        discard(rows)
         return Model(b"", b"", None, rate)
-    built = [dictionary([bytes(x) for r in teach if r["label"] == k for x in r["parts"]]) for k in (0, 1)]
+
+    def build(f: pd.DataFrame) -> pd.DataFrame:
+        texts_ = f.sort_values("doc_id")["text"]
+        return pd.DataFrame({"label": [f["label"].iloc[0]], "built": [dictionary([c for t in texts_ for c in chunks(t.encode())])]})
+
+    built = {r["label"]: bytes(r["built"]) for r in rows.filter("builds").groupBy("label").applyInPandas(build, "label int, built binary").collect()}
     model = Model(built[1], built[0], None, rate)
-    x = np.array([model.features(b"".join(map(bytes, r["parts"]))) for r in rest])
-    model.weights = calibrate(x, np.array([r["label"] for r in rest], dtype=float))
-    return model
 
+    def measure(source):
+        for batch in batches(source):
+            found = [model.features(t) for t in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-def shorten(source):
-    for batch in batches(source):
-        parts = [spread(t) for t in texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
+    measured = rows.filter("NOT builds").select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x array<double>").collect()
+    measured.sort(key=lambda r: (r["doc_id"], r["label"]))
+    model.weights = calibrate(np.array([r["x"] for r in measured]), np.array([r["label"] for r in measured], dtype=float))
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:

@@ -82,5 +82,61 @@ def test_exact_counts_at_the_threshold():
     b = jaccard.Bunch()
     b.names, b.members = ["a", "b", "c"], [1, 1, 1]
     b.sets = [np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64), np.arange(2, 11, dtype=np.uint64)]
-    linked = jaccard.compare(b, True, 0.8)  # 8 of 10, 7 of 11
+    linked, alike = jaccard.compare(b, True, 0.8)  # 8 of 10, 7 of 11
     assert linked.tolist() == [[False, True, False], [True, False, True], [False, True, False]]
+    assert alike[0, 1:].tolist() == [0.8, 7 / 11]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_walk_ties_what_shares_a_prefix(spark, parts):
+    """Ties of the sorted tries connect exactly the classes that share a prefix in some tree, at each level,
+    however the sorted rows are cut into tasks."""
+    r, levels = np.random.default_rng(parts), [10, 8, 6]
+    keys = r.integers(0, 2, (300, 3, 10)).astype(">u2")
+    keys[:60, 1] = keys[0, 1]  # a prefix that many have
+    rows = [(bytes([i // 256, i % 256]), [k.tobytes() for k in x]) for i, x in enumerate(keys)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        ties = [(x.level, bytes(x.a), bytes(x.b)) for x in jaccard.tie(spark.createDataFrame(rows, "class binary, signature array<binary>"), levels).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for level in levels:
+        assert parts_of([(a, b) for x, a, b in ties if x >= level]) == parts_of([(p[0], q[0]) for n, p in enumerate(rows) for q in rows[:n] if any(u[: 2 * level] == v[: 2 * level] for u, v in zip(p[1], q[1], strict=True))])
+
+
+def parts_of(ties):
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in ties:
+        root[find(a)] = find(b)
+    out: dict = {}
+    for x in root:
+        out.setdefault(find(x), set()).add(x)
+    return sorted(sorted(v) for v in out.values() if len(v) > 1)
+
+
+def test_longer_prefixes_settle_documents_with_close_copies():
+    assert jaccard.missed(np.array([0.99]), 10)[0] < 1 - jaccard.RECALL < jaccard.missed(np.array([0.8]), 10)[0]
+    assert jaccard.missed(np.array([0.8]), jaccard.levels_for(0.8, jaccard.RECALL)[-1])[0] < 1 - jaccard.RECALL
+
+
+def test_ids_of_any_type(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    df = spark.createDataFrame([((2, "x"), a), ((1, "y"), a + " c"), ((None, "z"), "b"), ((1, "a"), a)], "doc_id struct<i:long,h:string>, text string")
+    got = sorted((str(r.doc_id.h), str(r.class_id.h), str(r.group_id.h), r.n_links) for r in jaccard.join(df).collect())
+    assert got == [("a", "a", "a", 2), ("x", "a", "a", 2), ("y", "y", "a", 2), ("z", "z", "z", 0)]
+
+
+def test_what_a_task_remembers_is_bounded_in_bytes():
+    known = jaccard.Hashes(most=20_000)
+    for i in range(50):
+        words = [f"{i}w{j}".encode() for j in range(40)] * 2
+        assert known(words).tolist() == jaccard.Hashes()(words).tolist()
+        assert known.size <= 20_000 and len(known.of) < 200

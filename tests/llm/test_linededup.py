@@ -38,3 +38,10 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a", "x\ny")], "host string, text string")
     plan = linededup.drop_boilerplate(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_with_names_of_its_own(spark):
+    rows = [("a", f"menu\nown {i}", 7, 8, 9, 10, 11) for i in range(9)] + [(None, None, 1, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "__host string, text string, __salt int, __bad int, __part int, __clean int, __lines int")
+    got = linededup.drop_boilerplate(df, "__host", distinct=True).collect()
+    assert sorted((r.text or "", r["__salt"], r["__bad"], r["__clean"], r["__lines"], r["__dropped"]) for r in got) == [("", 1, 1, 1, 0, 0)] + [(f"own {i}", 7, 8, 10, 2, 1) for i in range(9)]

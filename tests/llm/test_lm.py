@@ -60,7 +60,7 @@ def test_base_scores_and_rows(spark, top, own):
 
 
 def test_words_of_a_rare_class_share_its_probability():
-    v = hmm.Vocabulary([("a", 3)], 10, 4, {})
+    v = hmm.Vocabulary([("a", 3, zlib.crc32(b"a"))], 10, 4, {})
     assert v.whole == 15 and v.class_of([b"a", b"zz"], v.lookup([b"a", b"zz"])).tolist() == [1, v.rare_class(b"zz"), 0]
 
 
@@ -69,3 +69,41 @@ def test_empty_table_and_nothing_to_learn(spark):
     assert hmm.score_all(empty).count() == 0
     none = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("held_out", F.lit(True))
     assert [(r.train_tokens, r.base_score, r.score, r.n_known) for r in hmm.score_all(none).collect()] == [(0, 0.0, 0.0, 0)]
+
+
+def test_frequent_words_of_many_bytes_are_top_words(spark):
+    long = "x" * 300
+    df = spark.createDataFrame([(i, f"{long} a b{i}") for i in range(30)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    counts = hmm.count_tokens(df)
+    v, ends = hmm.learn_vocabulary(counts, top=40)
+    assert ends == 30 and v.lookup([long.encode(), b"a"]).min() >= 0 and v.c[v.lookup([long.encode()])[0]] == 30
+    rows, n = hmm.score_all(df).collect(), 30 * 4
+    want = math.log10(31 / (n + 33 + 1)) * 3 + math.log10(2 / (n + 33 + 1))
+    assert all(abs(r.base_score - want) < 1e-9 for r in rows)
+
+
+def test_training_is_baum_welch_over_all_documents(spark):
+    """The model after full iterations equals one process's Baum-Welch on all documents."""
+    docs = [(f"the cat {'sat' if i % 3 else 'ran'} on mat{i % 5} " * (1 + i % 4),) for i in range(60)]
+    df = spark.createDataFrame(docs, "text string").repartition(5)
+    v, ends = hmm.learn_vocabulary(hmm.count_tokens(df), top=100, own=50)
+    got = hmm.train(df, v, ends, warm=0, full=3)
+    unigrams = np.zeros(1 + 50 + hmm.RARE)
+    unigrams[0] = ends
+    np.add.at(unigrams, v.classes[:50], v.c[:50])
+    unigrams[51:] = v.n
+    unigrams = (unigrams + 1) / (unigrams + 1).sum()
+    want, sequences = hmm.Model.begin(unigrams), []
+    for (t,) in docs:
+        words = hmm.tokens(t.encode())
+        sequences.append(v.class_of(words, v.lookup(words)))
+    for _ in range(3):
+        want = hmm.Model.of(*want.expected(hmm.Lanes(sequences)), unigrams)
+    assert np.allclose(got.move, want.move, rtol=1e-7) and np.allclose(got.emit, want.emit, rtol=1e-7) and np.allclose(got.start, want.start)
+
+
+def test_documents_of_like_length_run_together():
+    items = [(n, i) for i, n in enumerate([1, 5000, 20, 700_000, 3, 4000, 650])]
+    groups = list(hmm.together(iter(items)))
+    assert sorted(x for g in groups for x in g) == sorted(items)
+    assert all(len({sum(n > k for k in hmm.LENGTHS) for n, _ in g}) == 1 for g in groups)

@@ -47,3 +47,9 @@ def test_rows_nulls_and_clashing_columns(spark):
     assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.spans) for r in rows) == [(0, 0, 0, ""), (1, 1, 1, "email:0:6,ip:9:16"), (1, 1, 1, "email:0:6,ip:9:16"), (2, 0, 0, "")]
     assert {r.base_sha256 for r in rows if r.doc_id == 2} == {hashlib.sha256(b"").hexdigest()}
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_a_failing_iban_hides_no_valid_one():
+    text = "REF AB12 GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 32 GB82 WEST 1234 5698 7654 32"
+    found = [text[a:b] for a, b in pii.ibans(text)]
+    assert found == ["GB82 WEST 1234 5698 7654 32"] * 3

@@ -109,3 +109,28 @@ def test_a_third_of_copies_leaves_one_with_its_text(spark):
         got = {x.doc_id: x.text for x in docs.collect()}
         assert got[100] == copy and any(near[0] in t for t in got.values())
     assert sum(t == copy for t in got.values()) == 1
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """(0, B z), (1, A), (1, B): B goes as a near copy of B z, A stays; and each stage bears nulls in every column."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, name string, taken int"
+    rows = [(0, b + " z"), (1, a), (1, b), (1, a), (None, "c d e f g h"), (None, None), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "n", 3) for i, t in rows], schema)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got) == [(-1, ""), (-1, "c d e f g h"), (0, b + " z"), (1, a), (5, ""), (5, "")]
+    mixed = [corpus_pipeline.mixture(spark, docs.repartition(n), "").collect() for n in (1, 3)]
+    assert sorted(map(repr, mixed[0])) == sorted(map(repr, mixed[1]))
+    for stage in (corpus_pipeline.language, corpus_pipeline.lines, corpus_pipeline.near_duplicates, corpus_pipeline.mixture):
+        assert stage(spark, docs, "").columns == list(corpus_pipeline.COLUMNS)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.lines(spark, docs, "").count() == len(rows)
+
+
+def test_mixture_shares_what_is_taken_among_equal_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(7, text, "en", s, 9) for s in ("a", "a", "b")] + [(7, text + " x", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert {(r.text, r.source) for r in got} <= {(text, "a"), (text, "b"), (text + " x", "a")}
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "ab"}
+    assert abs(words["a"] - 67) <= 51 and abs(words["b"] - 134) <= 51  # to whole copies
