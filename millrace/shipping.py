@@ -9,9 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package, zipped, to the application's files, once an application."""
+    """Adds the package, zipped, to the application's files, once an application. Also, where the session says
+    nothing else, rows go to Python in batches of ROWS, so that long texts fill neither side's memory."""
     sc = spark.sparkContext
+    if sc.getConf().get(BATCH) is None and spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
     if getattr(sc, "_millrace_shipped", False):
         return
     here = Path(__file__).parent
