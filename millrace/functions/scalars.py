@@ -68,3 +68,9 @@ def trim_space(text: Column) -> Column:
 def as_json(*columns: str) -> Column:
     """The data columns of a request as one JSON text."""
     return F.to_json(F.struct(*columns))
+
+
+def quotient(a: Column, b: Column | int) -> Column:
+    """Whole division that truncates to zero, in whole numbers throughout."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return F.call_function("div", a.cast("long"), b.cast("long"))

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from millrace.operators import keyed
 
 
+def known(op: Column) -> Column:
+    """Whether it is a kind of operation."""
+    return F.coalesce(op.isin("Add", "Delete"), F.lit(False))
+
+
 def cut_at_error(ops: DataFrame) -> DataFrame:
-    """The operations before the first with an error, which ends the feed."""
-    first = ops.filter(F.col("err").isNotNull()).agg(F.min("seq").alias("__first"))
+    """The operations before the first with an error, or of no known kind, which ends the feed."""
+    first = ops.filter(F.col("err").isNotNull() | ~known(F.col("op"))).agg(F.min("seq").alias("__first"))
     return ops.crossJoin(F.broadcast(first)).filter(F.col("__first").isNull() | (F.col("seq") < F.col("__first"))).drop("__first")  # one row
 
 
@@ -26,13 +31,14 @@ def accept_greater(ops: DataFrame) -> DataFrame:
     """k, v where an Add is accepted only if it is greater than what is there: the greatest since the last Delete."""
     gone = F.max(F.when(F.col("op") == "Delete", F.col("seq")))
     last = ops.groupBy("k").agg(gone.alias("__gone")).withColumnRenamed("k", "__k")
-    live = ops.join(last, F.col("k") == F.col("__k")).filter((F.col("op") == "Add") & (F.col("__gone").isNull() | (F.col("seq") > F.col("__gone"))))
+    live = ops.join(last, F.col("k").eqNullSafe(F.col("__k"))).filter((F.col("op") == "Add") & (F.col("__gone").isNull() | (F.col("seq") > F.col("__gone"))))
     return live.groupBy("k").agg(F.max("v").alias("v"))
 
 
 def accept(ops: DataFrame, on_set: Callable | None = None, on_delete: Callable | None = None) -> DataFrame:
     """k, v, err of each key's last state with hooks: on_set(k, v, prev, replaced) and on_delete(k, prev, found)
-    say whether the change is made; what they raise leaves the table as it is and is the key's err."""
+    say whether the change is made; what they raise leaves the table as it is and is the key's err, as is an
+    operation of no known kind."""
     kinds = dict(ops.dtypes)
 
     def step(state, row):
@@ -41,6 +47,8 @@ def accept(ops: DataFrame, on_set: Callable | None = None, on_delete: Callable |
             if row.op == "Add":
                 if on_set is None or on_set(row.k, row.v, prev, found):
                     return (True, row.v), [(row.k, row.seq, True, row.v, None)]
+            elif row.op != "Delete":
+                return state, [(row.k, row.seq, found, prev, f"no such operation: {row.op}")]
             elif on_delete is None or on_delete(row.k, prev, found):
                 return (False, None), [(row.k, row.seq, False, None, None)]
         except Exception as e:  # noqa: BLE001  a hook's error is its result

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import errors, scalars
+from millrace.sources import readers
 
 
-def sequence(df: DataFrame, key: str, pos: str = "pos", name: str = "seq") -> DataFrame:
-    """Dense 0-based number of each row among its key's."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1).cast("long"))
+def sequence(df: DataFrame, key: str, pos: str = "pos", name: str = "seq", hot: bool = False) -> DataFrame:
+    """Dense 0-based number of each row among its key's. With hot, for keys that hold more rows than a task
+    should, rows are numbered over all keys by ranges, and each key's first number is taken off."""
+    if not hot:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1).cast("long"))
+    numbered = readers.indexed(df.withColumnRenamed("pos", "__pos") if "pos" in df.columns else df, key, "__pos" if pos == "pos" else pos).withColumnRenamed("pos", "__at")
+    first = numbered.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"))
+    out = numbered.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, (F.col("__at") - F.col("__first")).cast("long"))
+    return out.drop("__key", "__first", "__at").withColumnRenamed("__pos", "pos")
 
 
 def lanes(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -60,19 +69,25 @@ def fold(df: DataFrame, key: str, pos: str, step: Callable, start: Callable, sch
     """An opaque ordered fold: step(state, row) gives (state, outputs). Rows stream through in order, so that a
     task holds one Arrow batch and one state, however many rows a key has."""
 
-    def run(frames):
+    row = namedtuple("row", df.columns)
+
+    def run(batches):
         last, state = object(), None
-        for f in frames:
+        for batch in batches:
             out = []
-            for row in f.itertuples(index=False):
-                if getattr(row, key) != last:
-                    last, state = getattr(row, key), start()
-                state, got = step(state, row)
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # plain values: a null stays one
+                now = row(*values)
+                k = getattr(now, key)
+                if k != last:
+                    last, state = k, start()
+                state, got = step(state, now)
                 out += got
-            yield pd.DataFrame(out, columns=names)
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    return df.repartition(key).sortWithinPartitions(key, pos).mapInPandas(run, schema)
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    names, kinds = arrow.names, [f.type for f in arrow]
+    return df.repartition(key).sortWithinPartitions(key, pos).mapInArrow(run, schema)
 
 
 def admission(df: DataFrame, key: str, submit: str, work: str, depth: int, pos: str = "pos") -> DataFrame:

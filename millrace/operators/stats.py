@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars
+
 
 def times(df: DataFrame, *keys: str, run: str = "run_ns", wait: str | None = None, done: Column | None = None) -> DataFrame:
     """completed, and min, avg, max of the run times of completed rows; 0 where there are none. Wait times are of
@@ -13,8 +15,7 @@ def times(df: DataFrame, *keys: str, run: str = "run_ns", wait: str | None = Non
     n = F.count_if(finished)
 
     def of(column: Column, name: str) -> list[Column]:
-        whole = F.sum(column) - F.sum(column) % F.greatest(n, F.lit(1))
-        mean = F.when(n == 0, F.lit(0)).otherwise(whole / n)
+        mean = F.when(n == 0, F.lit(0)).otherwise(scalars.quotient(F.sum(column), F.greatest(n, F.lit(1))))
         return [F.coalesce(f, F.lit(0)).cast("long").alias(f"{name}_{k}") for k, f in (("min", F.min(column)), ("avg", mean), ("max", F.max(column)))]
 
     out = [n.cast("long").alias("completed"), F.count("*").cast("long").alias("ingested"), *of(F.when(finished, F.col(run)), "run")]

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import errors, paths
 
 #: Deeper topics are matched pattern by pattern: their candidate keys would be too many.
 DEEPEST = 8
+#: Sequence numbers of one part of a pattern's changes.
+PART = 1 << 16
 
 
 def live_patterns(changes: DataFrame) -> DataFrame:
-    """pattern, n: those with subscriptions left, of changes (seq, op, pattern); the last one out removes it."""
+    """pattern, n: those with subscriptions left, of changes (seq, op, pattern); the last one out removes it, and a
+    Delete where there is none is nothing. The count is the running sum less the lowest it would have sunk
+    below 0, by parts: each part gives its sum and its lowest prefix, so no task holds a whole pattern."""
     valid = changes.filter(paths.pattern_error(F.col("pattern")).isNull()).withColumn("pattern", paths.canonical(F.col("pattern")))
-    return valid.groupBy("pattern").agg(F.sum(F.when(F.col("op") == "Add", 1).otherwise(-1)).alias("n")).filter("n > 0")
+    step = F.when(F.col("op") == "Add", 1).when(F.col("op") == "Delete", -1).otherwise(0)
+    parts = valid.select("pattern", F.floor(F.col("seq") / PART).alias("part"), "seq", step.alias("step"))
+    inner = Window.partitionBy("pattern", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.withColumn("at", F.sum("step").over(inner)).groupBy("pattern", "part").agg(F.sum("step").alias("sum"), F.min("at").alias("low"))
+    outer = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sums.withColumn("before", F.coalesce(F.sum("sum").over(outer), F.lit(0)))
+    return whole.groupBy("pattern").agg((F.sum("sum") - F.least(F.lit(0), F.min(F.col("before") + F.col("low")))).alias("n")).filter("n > 0")
 
 
 def match(sends: DataFrame, patterns: DataFrame, topic: str = "topic", pattern: str = "pattern") -> DataFrame:

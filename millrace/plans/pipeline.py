@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from millrace.functions import errors
 
 ENVELOPE = ("next_stage", "err", "visited", "hops")
+#: Under this name a preprocessor gives the text of its error, null if none: such a request goes no further.
+FAILS = "__fails"
 
 
 @dataclass
@@ -61,9 +63,9 @@ class Pipeline:
         hops = self.max_hops or len(self.stages) + bool(self.dag)
         for _ in range(hops):
             df = self.hop(df)
-        if self.max_hops is None and not self.dag:
-            over = F.col("err").isNull() & F.col("next_stage").isNotNull()
-            df = df.withColumn("err", F.when(over, errors.error("config", "the route is a loop: set max_hops")).otherwise(F.col("err")))
+        why = "the route is a loop: set max_hops" if self.max_hops is None else f"not at its end after {hops} hops"
+        over = F.col("err").isNull() & F.col("next_stage").isNotNull()
+        df = df.withColumn("err", F.when(over, errors.error("config", why)).otherwise(F.col("err")))
         return df if group is None else df.orderBy(group, pos)
 
     def hop(self, df: DataFrame) -> DataFrame:
@@ -74,7 +76,13 @@ class Pipeline:
         going = F.col("err").isNull() & F.col("next_stage").isNotNull()
         df = df.withColumn("__at", F.when(going, F.col("next_stage")))
         for p in self.preprocessors:
-            df = df.withColumns({c: F.when(F.col("__at").isNotNull(), v).otherwise(F.col(c)) for c, v in p(df).items()})
+            made, here = dict(p(df)), F.col("__at").isNotNull()
+            fails = made.pop(FAILS, None)
+            new = {c: F.when(here, v).otherwise(F.col(c)) for c, v in made.items()}
+            df = df.withColumns(new if fails is None else new | {FAILS: F.when(here, fails)})
+            if fails is not None:  # the request leaves before the stage's body
+                df = df.withColumn("err", F.coalesce(F.col("err"), errors.when(F.col(FAILS).isNotNull(), "user", F.col(FAILS)))).drop(FAILS)
+                df = df.withColumns({"next_stage": F.when(F.col("__at").isNull() | F.col("err").isNull(), F.col("next_stage")), "__at": F.when(F.col("err").isNull(), F.col("__at"))})
         out: dict[str, Column] = {}
         for s in self.stages:
             here = F.col("__at") == s.name

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import errors, paths, scalars
 from millrace.operators import broadcast, changelog, keyed, results, stats, topics
 from millrace.plans import autoscale, etl
-from millrace.plans.pipeline import Pipeline, Stage, mux
+from millrace.plans.pipeline import FAILS, Pipeline, Stage, mux
 from millrace.sources import readers, sinks
 from millrace.streaming import processors
 
@@ -168,7 +168,9 @@ def topic_delivery(spark, d):
 
 @query(
     "q11_live_patterns",
-    "SELECT event_type || '/u' || (user_id % 10) AS pattern, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS n FROM events GROUP BY 1 HAVING sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) > 0",
+    """WITH c AS (SELECT event_id AS seq, event_type || '/u' || (user_id % 10) AS pattern, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS step FROM events),
+       p AS (SELECT pattern, step, sum(step) OVER (PARTITION BY pattern ORDER BY seq) AS so_far FROM c)
+       SELECT pattern, (sum(step) - least(0, min(so_far)))::BIGINT AS n FROM p GROUP BY pattern HAVING sum(step) - least(0, min(so_far)) > 0""",
 )
 def live_patterns(spark, d):
     e = events(spark, d)
@@ -183,7 +185,7 @@ def keyed_sequence(spark, d):
 
 @query("q13_item_numbers", "SELECT event_type AS group_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS item_num FROM events")
 def item_numbers(spark, d):
-    return keyed.sequence(events(spark, d), "event_type", name="item_num").select(F.col("event_type").alias("group_id"), "event_id", "item_num")
+    return keyed.sequence(events(spark, d), "event_type", name="item_num", hot=True).select(F.col("event_type").alias("group_id"), "event_id", "item_num")
 
 
 @query("q14_global_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")
@@ -512,14 +514,14 @@ def scalar_functions(spark, d):
     )
 
 
-@query("q49_slots", "SELECT p_partkey AS id, p_size::BIGINT + p_partkey + 7 AS sum3, p_size::BIGINT + p_partkey + 7 // 3 AS sum4 FROM part")
+@query("q49_slots", "SELECT p_partkey AS id, p_size::BIGINT + p_partkey + (p_size::BIGINT - 25) AS sum3, p_size::BIGINT + p_partkey + trunc((p_size - 25) / 3)::BIGINT AS sum4 FROM part")
 def slots(spark, d):
     """Five slots: the fourth is the sum of the first three, the fifth adds a third of the third only."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("long"), F.col("p_partkey"), F.lit(7).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")).alias("data"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("long"), F.col("p_partkey"), F.col("p_size").cast("long") - 25, F.lit(0).cast("long"), F.lit(0).cast("long")).alias("data"))
     a, b, c = (F.get("data", F.lit(k)) for k in range(3))
     p = p.withColumns({"sum3": F.lit(0).cast("long"), "sum4": F.lit(0).cast("long")})
     bad = F.when(F.size("data") != 5, F.lit("there must be five slots"))
-    stages = [Stage("sum", {"sum3": a + b + c}, next="avg", fails=bad), Stage("avg", {"sum4": a + b + F.floor(c / 3)}, fails=bad)]
+    stages = [Stage("sum", {"sum3": a + b + c}, next="avg", fails=bad), Stage("avg", {"sum4": a + b + scalars.quotient(c, 3)}, fails=bad)]
     return Pipeline(stages, "sum").run(p).select("id", "sum3", "sum4")
 
 
@@ -548,9 +550,9 @@ def torn_down(spark, d):
 
 def folder(spark) -> str:
     """A place for a stream's output: the cluster's shared folder, or in local mode a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not readers.is_local(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="millrace-")
     return f"{base}/stream-{uuid.uuid4().hex}"
@@ -604,3 +606,79 @@ def send_errors(spark, d):
     end = F.when(F.col("event_id") % 5 == 0, "/").when(F.col("event_id") % 5 == 1, "/*").otherwise("/x")
     s = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat("event_type", end).alias("topic"))
     return flat(topics.send_errors(s, 5000)).select("seq", "err_kind", "err_permanent")
+
+
+@query(
+    "q58_csv_load",
+    """SELECT 'n' || event_id AS business_name, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level, event_id % 50 = 7 AS bad FROM events WHERE event_id % 50 <> 7""",
+)
+def csv_load(spark, d):
+    """Strings written as CSV, read back, typed, held to the error budget and published; what is published."""
+    n, where = F.col("event_id"), folder(spark)
+    rows = {c: F.concat(F.lit("n"), n.cast("string")) for c in readers.VIOLATIONS} | {"viollevel": F.element_at(F.array(F.lit("*"), F.lit("**"), F.lit("***")), (n % 3 + 1).cast("int"))}
+    rows["violdttm"] = F.when(n % 50 == 7, "no time").otherwise("2017-01-01 10:00:00")
+    table(spark, d, "events").select(*(v.alias(k) for k, v in rows.items())).write.option("header", True).csv(f"{where}/csv")
+    typed = etl.typed(readers.violations_csv(spark, f"{where}/csv"))
+    if not sinks.error_budget(typed, f"{where}/table"):
+        raise ValueError("the budget does not hold")
+    return sinks.loaded(spark, f"{where}/table").select("business_name", F.col("level").cast("int").alias("level"), F.lit(False).alias("bad"))
+
+
+@query("q59_fail_fast_load", "SELECT count(*) AS n, min(o_orderkey) AS low, false AS second FROM orders")
+def fail_fast_load(spark, d):
+    """A load without errors is published; one with an error leaves what was there."""
+    where = f"{folder(spark)}/table"
+    orders = table(spark, d, "orders").select("o_orderkey").withColumn("err", errors.none())
+    first = sinks.fail_fast(orders, where)
+    second = sinks.fail_fast(orders.withColumn("err", errors.when(F.col("o_orderkey") % 1000 == 1, "user", "bad")), where)
+    return sinks.loaded(spark, where).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low")).withColumn("second", F.lit(not first or second))
+
+
+@query("q60_failing_preprocessor", "SELECT event_id AS pos, CASE WHEN event_id % 10 = 3 THEN event_id % 10 ELSE (event_id % 10 + 1) * 3 END AS v, CASE WHEN event_id % 10 = 3 THEN 'user' END AS err_kind FROM events")
+def failing_preprocessor(spark, d):
+    """A preprocessor's error ends a request before the stage's body."""
+    e = events(spark, d).select("pos", (F.col("pos") % 10).alias("v"))
+    before = lambda df: {FAILS: F.when(F.col("v") == 3, "three"), "v": F.when(F.col("v") == 3, F.col("v")).otherwise(F.col("v") + 1)}
+    out = Pipeline([Stage("only", {"v": F.col("v") * 3})], "only", preprocessors=[before]).run(e)
+    return out.select("pos", "v", F.col("err.kind").alias("err_kind"))
+
+
+@query("q61_unfinished_loop", "SELECT event_id AS pos, least(event_id % 8, 5) AS rounds, CASE WHEN event_id % 8 > 5 THEN 'config' END AS err_kind FROM events")
+def unfinished_loop(spark, d):
+    """A loop as long as the data says; rows that are not at its end after max_hops say so."""
+    e = events(spark, d).select("pos", (F.col("pos") % 8).alias("todo")).withColumn("rounds", F.lit(0).cast("long"))
+    again = F.when(F.col("rounds") + 1 < F.col("todo"), "again")
+    loop = Stage("again", {"rounds": F.when(F.col("todo") > 0, F.col("rounds") + 1).otherwise(0)}, next=again)
+    out = Pipeline([loop], "again", max_hops=5).run(e)
+    return out.select("pos", "rounds", F.col("err.kind").alias("err_kind"))
+
+
+@query("q62_unknown_operation", f"SELECT k, arg_max(v, seq) AS v FROM {CHANGES_SQL} WHERE seq < 500 GROUP BY k HAVING arg_max(op, seq) = 'Add'")
+def unknown_operation(spark, d):
+    """An operation of no known kind ends the feed."""
+    ops = changes(spark, d).withColumn("op", F.when(F.col("seq") == 500, "Bogus").otherwise(F.col("op")))
+    return changelog.materialise(changelog.cut_at_error(ops))
+
+
+@query("q63_delete_hook", "SELECT k, arg_max(v, seq) AS v FROM (SELECT event_id AS seq, user_id AS k, event_id % 1000 AS v, event_type FROM events) WHERE event_type <> 'error' GROUP BY k")
+def delete_hook(spark, d):
+    """A hook that refuses every Delete, of absent keys as of present ones."""
+    return changelog.accept(changes(spark, d), on_delete=lambda k, prev, found: False).select("k", "v")
+
+
+@query("q64_ordered_output", "SELECT row_number() OVER (ORDER BY event_id DESC) - 1 AS at, event_id AS pos FROM events ORDER BY event_id DESC LIMIT 100")
+def ordered_output(spark, d):
+    """Each row with the place at which it came out, so that the order shows."""
+    e = events(spark, d).select((-F.col("pos")).alias("pos"))
+    rows = results.first_n(results.ordered(e), 100).collect()  # a report of a hundred rows
+    return spark.createDataFrame([(i, -r["pos"]) for i, r in enumerate(rows)], "at long, pos long")
+
+
+@query("q65_taken_channel", "SELECT event_id AS pos, user_id FROM events WHERE event_id < 250")
+def taken_channel(spark, d):
+    return readers.take_channel(events(spark, d), 250).select("pos", "user_id")
+
+
+@query("q66_get", f"SELECT k, arg_max(v, seq) AS v FROM {CHANGES_SQL} WHERE k = 7 GROUP BY k HAVING arg_max(op, seq) = 'Add'")
+def get_key(spark, d):
+    return changelog.get(changelog.materialise(changes(spark, d)), 7)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -21,13 +24,38 @@ def from_map(df: DataFrame, column: str) -> DataFrame:
 
 
 def indexed(df: DataFrame, *order: str | Column, chunks: int = 1024) -> DataFrame:
-    """pos: dense and 0-based in that order. Ranges are counted first, so no task sorts all rows."""
-    spread = df.repartitionByRange(chunks, *order).withColumn("__part", F.spark_partition_id())
+    """pos: dense and 0-based in that order, rows that tie by a hash of their columns. Ranges are
+    counted first, so no task sorts all rows. The ranges are written, as two reads of one plan may cut them
+    differently."""
+    rest = [F.xxhash64(*(f"`{c}`" for c, kind in df.dtypes if "map<" not in kind)).alias("__tie")]
+    spread = durable(df.select("*", *rest).repartitionByRange(chunks, *order, "__tie").withColumn("__part", F.spark_partition_id()))
     counts = spread.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return spread.withColumn("__within", within).join(base, "__part").withColumn("pos", F.col("__base") + F.col("__within")).drop("__part", "__within", "__base")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order, "__tie")) - 1
+    numbered = spread.withColumn("__within", within).join(base, "__part")
+    return numbered.withColumn("pos", F.col("__base") + F.col("__within")).drop("__part", "__within", "__base", "__tie")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the folder that all machines share, and read back: every later read sees the same rows in
+    the same partitions, and no lost executor undoes them."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        sc.setCheckpointDir(folder)
+    path = f"{folder}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; local-cluster is not."""
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def take_channel(log: DataFrame, cancel_after: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streaming twins: per-key state over micro-batches.
 
 Micro-batches don't keep the order of rows, so every stream carries a position and each batch is put in order
-before it meets the state; a position lower than the state's last is late and is dropped with a count.
+before it meets the state; a position not above the state's last is late and is dropped.
 """
 
 from __future__ import annotations
@@ -26,14 +26,15 @@ def sequence(stream: DataFrame, key: str, pos: str) -> DataFrame:
     """key, pos, seq: dense 0-based numbers of each key's rows in order."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        n, last = state.get if state.exists else (0, None)
         rows = pd.concat(list(frames)).sort_values(pos)
+        rows = rows if last is None else rows[rows[pos] > last]
         yield pd.DataFrame({key: [k[0]] * len(rows), pos: rows[pos].to_numpy(), "seq": range(n, n + len(rows))})
-        state.update((n + len(rows),))
+        state.update((n + len(rows), int(rows[pos].iloc[-1]) if len(rows) else last))
 
     kinds = dict(stream.dtypes)
     out = f"{key} {kinds[key]}, {pos} {kinds[pos]}, seq long"
-    return stream.select(key, pos).groupBy(key).applyInPandasWithState(step, out, "n long", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, pos).groupBy(key).applyInPandasWithState(step, out, "n long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(stream: DataFrame, key: str, ts: str, pos: str, idle_seconds: float) -> DataFrame:
@@ -44,6 +45,8 @@ def sessions(stream: DataFrame, key: str, ts: str, pos: str, idle_seconds: float
         rows = pd.concat(list(frames)).sort_values([ts, pos])
         out = []
         for at, p in zip(rows[ts].astype("datetime64[us]").astype("int64") / 1e6, rows[pos], strict=True):
+            if last is not None and at < last:
+                continue  # late
             if last is not None and at - last > idle_seconds:
                 session, n = session + 1, 0
             out.append((k[0], p, session, n))
@@ -66,17 +69,24 @@ def feed(stream: DataFrame, folder: str, fold: Callable[[DataFrame | None, DataF
     """Runs the stream to its end, folding each micro-batch into a table kept as numbered versions under folder;
     returns the last one's path. A batch that runs again writes its own version again."""
     spark = stream.sparkSession
-    last: list[str] = []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def latest(below: int | None = None) -> str:
+        """The last version that is whole, by the folder alone: a run that starts from a checkpoint finds it."""
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [int(x[1:]) for x in found if x[:1] == "v" and x[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
+        number = max((n for n in whole if below is None or n < below), default=None)
+        return "" if number is None else f"{folder}/v{number}"
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(last[-1]) if last else None
-        path = f"{folder}/v{number}"
-        fold(before, batch).write.mode("overwrite").parquet(path)
-        last.append(path)
+        before = latest(number)
+        fold(spark.read.parquet(before) if before else None, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return last[-1] if last else ""
+    return latest()
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -232,9 +232,93 @@ def test_etl(spark, tmp_path):
     assert failed.filter("err IS NULL").count() == 0
     out = str(tmp_path / "out")
     assert not sinks.fail_fast(rows, out) and not sinks.error_budget(rows, out)
-    assert not (tmp_path / "out").exists() and len(list(tmp_path.iterdir())) <= 2
-    assert sinks.error_budget(rows, out, budget=0.25) and spark.read.parquet(out).count() == 2
-    assert sinks.fail_fast(rows.filter("err IS NULL"), out) and spark.read.parquet(out).count() == 2
+    with pytest.raises(ValueError):
+        sinks.published(spark, out)
+    assert sinks.error_budget(rows, out, budget=0.25) and sinks.loaded(spark, out).count() == 2
+    assert sinks.fail_fast(rows.filter("err IS NULL").limit(1), out) and sinks.loaded(spark, out).count() == 1
+    assert not sinks.fail_fast(rows, out) and sinks.loaded(spark, out).count() == 1
+
+
+def test_index_of_many_wide_rows_is_dense(spark):
+    """Both reads of the ranges agree, whatever columns they take."""
+    df = spark.range(3_000_000, numPartitions=8).select((F.col("id") * 7919 % 3_000_017).alias("v"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = readers.indexed(df, "v", chunks=64).selectExpr("pos", "v", "length(payload) AS n")
+    ends = got.agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.sum("n")).first()
+    assert tuple(ends) == (3_000_000, 3_000_000, 0, 2_999_999, 96_000_000)
+    want = df.select("v").orderBy("v").limit(2000).toPandas()["v"].tolist()
+    assert got.filter("pos < 2000").orderBy("pos").toPandas()["v"].tolist() == want
+
+
+def test_sequence_of_hot_keys_equals_the_plain_one(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 5 > 1, 1).when(F.col("id") % 5 == 1, 2).alias("k"), (F.col("id") * 37 % 5003).alias("pos"))
+    plain, hot = (sorted(map(str, keyed.sequence(df, "k", hot=h).select("k", "pos", "seq").collect())) for h in (False, True))
+    assert plain == hot
+
+
+def test_batches_are_retried_and_their_errors_are_rows(spark, tmp_path):
+    def write(block, rows):
+        (tmp_path / f"{block}-{len(list(tmp_path.iterdir()))}").touch()
+        if any(r["v"] == 7 for r in rows):
+            raise ValueError("permanent")
+        if len([p for p in tmp_path.iterdir() if p.name.startswith(f"{block}-")]) < 2:
+            raise OSError("try again")
+
+    df = spark.range(0, 10, numPartitions=1).withColumnRenamed("id", "v")
+    got = sinks.write_batches(df, write, items=4, attempts=3, permanent=lambda e: isinstance(e, ValueError)).collect()
+    assert [(r.block, r.rows, r.err and (r.err.msg, r.err.permanent)) for r in got] == [("0-0", 4, None), ("0-1", 4, ("permanent", True)), ("0-2", 2, None)]
+
+
+def test_null_keys_and_unknown_operations(spark):
+    ops = spark.createDataFrame([(0, "Add", None, 5), (1, "Add", None, 3), (2, "Add", 1, 1), (3, "Bogus", 1, None), (4, "Add", 2, 4), (5, "Delete", 2, None)], "seq long, op string, k long, v long")
+    got = changelog.accept(ops, on_set=lambda k, v, prev, found: not found or v > prev).collect()
+    assert sorted((r.k or 0, r.v, r.err) for r in got) == [(0, 5, None), (1, 1, "no such operation: Bogus")]
+    assert sorted((r.k or 0, r.v) for r in changelog.accept_greater(ops).collect()) == [(0, 5), (1, 1)]
+    ended = changelog.cut_at_error(ops.withColumn("err", F.lit(None).cast("string")))
+    assert sorted(r.seq for r in ended.collect()) == [0, 1, 2]
+
+
+def test_a_delete_of_nothing_is_nothing(spark):
+    rows = [(0, "Delete", "a/b"), (1, "Add", "a/b"), (70_000, "Delete", "c"), (70_001, "Delete", "c"), (140_000, "Add", "c"), (140_001, "Add", "c"), (210_000, "Delete", "c"), (3, "Add", "d"), (4, "Delete", "d")]
+    changes = spark.createDataFrame(rows, "seq long, op string, pattern string")
+    assert sorted(tuple(r) for r in topics.live_patterns(changes).collect()) == [("a/b", 1), ("c", 1)]
+
+
+def test_routes_that_do_not_end_say_so(spark):
+    again = Stage("again", {"v": F.col("v") + 1}, next=F.when(F.col("v") < 8, "again"))
+    got = Pipeline([again], "again", max_hops=5).run(positions(spark, [0, 6])).collect()
+    assert [(r.v, r.err and r.err.kind) for r in got] == [(5, "config"), (9, None)]
+
+
+def test_feed_goes_on_from_its_folder(spark, tmp_path):
+    from millrace.streaming import processors
+
+    (tmp_path / "in").mkdir()
+    fold = lambda before, batch: batch.select("k", "v") if before is None else before.join(batch, "k", "left_anti").unionByName(batch.select("k", "v"))
+    for n, rows in enumerate([[(1, 1), (2, 2)], [(3, 3), (2, 5)], []]):
+        if rows:
+            spark.createDataFrame(rows, "k long, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k long, v long").parquet(str(tmp_path / "in"))
+        last = processors.feed(stream, str(tmp_path / "feed"), fold)
+        want = [[(1, 1), (2, 2)], [(1, 1), (2, 5), (3, 3)], [(1, 1), (2, 5), (3, 3)]][n]
+        assert sorted(tuple(r) for r in spark.read.parquet(last).collect()) == want
+
+
+def test_streamed_sequences_cross_batches_and_drop_late_rows(spark, tmp_path):
+    from millrace.streaming import processors
+
+    for n, rows in enumerate([[("a", 0), ("b", 1), ("a", 4)], [("a", 3), ("a", 6), ("b", 5)]]):
+        spark.createDataFrame(rows, "k string, pos long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, pos long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = processors.sequence(stream, "k", "pos").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 0, 0), ("a", 4, 1), ("a", 6, 2), ("b", 1, 0), ("b", 5, 1)]
+
+
+def test_whole_division_truncates(spark):
+    from millrace.functions import scalars
+
+    rows = spark.createDataFrame([(-7,), (7,), (-9,), (9007199254740995,)], "a long").select(scalars.quotient(F.col("a"), 3).alias("q")).collect()
+    assert [r.q for r in rows] == [-2, 2, -3, 3002399751580331]
 
 
 def test_sinks(spark, tmp_path):
