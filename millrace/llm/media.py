@@ -47,6 +47,10 @@ SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, REACH, ROUGH, SEED = tuple(2 **
 TABLES, BITS, BLOCK, PAIRS, SECTORS = 8, 8, 1 << 17, 1 << 21, 16
 
 
+#: Fixed value: the most that deflate makes of a byte.
+DEFLATE = 1032
+
+
 def png(data: bytes) -> np.ndarray | None:
     at, head, body = 8, None, b""
     while at + 8 <= len(data):
@@ -59,7 +63,10 @@ def png(data: bytes) -> np.ndarray | None:
     if not channels or head[2] != 8 or head[6]:
         return None
     w, h, line = head[0], head[1], head[0] * channels
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, line + 1)
+    size = h * (line + 1)
+    if size > DEFLATE * len(body):  # more than such data can hold
+        return None
+    raw = np.frombuffer(zlib.decompressobj().decompress(body, size + 1), np.uint8).reshape(h, line + 1)
     out = np.zeros((h + 1, line + channels), np.int64)
     for y in range(h):
         row, up, kind = raw[y, 1:].astype(np.int64), out[y], raw[y, 0]
@@ -80,12 +87,14 @@ def grey(data: bytes | None) -> np.ndarray | None:
     try:
         if data and (m := re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", data)) and int(m[4]) < 256:
             w, h, c = int(m[2]), int(m[3]), 1 if m[1] == b"5" else 3
+            if w * h * c > len(data) - m.end():
+                return None
             x = np.frombuffer(data, np.uint8, w * h * c, m.end()).reshape(h, w, c)
         elif data and data[:8] == b"\x89PNG\r\n\x1a\n":
             x = png(data)
         else:
             x = None
-    except (ValueError, struct.error, zlib.error, TypeError):
+    except (ValueError, OverflowError, struct.error, zlib.error, TypeError):
         return None
     if x is None or not x.size:
         return None

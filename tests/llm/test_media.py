@@ -141,3 +141,16 @@ def test_consensus_mends_scale_and_turn():
     z = 0.92 * np.exp(-0.3j) * (a[:, 0] + 1j * a[:, 1])
     b = np.column_stack([z.real, z.imag, a[:, 2] - 0.3 + r.normal(0, 0.05, 30), np.ones(30)])  # the level says 1, the angles are not exact
     assert media.consensus(a, b) == 30
+
+
+def test_headers_that_promise_more_than_there_is():
+    import struct
+    import zlib
+
+    assert media.grey(b"P5 99999999999999999999 99999999999 255\nabc") is None
+    assert media.grey(b"P5 3 3 255\n12345678") is None and media.grey(b"P5 3 3 255\n123456789").shape == (3, 3)
+    chunk = lambda kind, part: struct.pack(">I", len(part)) + kind + part + b"\0\0\0\0"
+    head = lambda w, h: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+    assert media.grey(head(2**31, 2**31) + chunk(b"IDAT", zlib.compress(b"\0"))) is None
+    assert media.grey(head(2, 2) + chunk(b"IDAT", zlib.compress(b"\0" * 50_000_000))) is None
+    assert media.grey(head(2, 1) + chunk(b"IDAT", zlib.compress(b"\0ab"))).tolist() == [[97.0, 98.0]]
