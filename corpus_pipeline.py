@@ -47,10 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     named = docs.select(*COLUMNS).withColumn("name", F.struct("doc_id", F.unhex(F.md5("text")).alias("digest")))
     found = jaccard.join(named.select(F.col("name").alias("doc_id"), "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("of")).distinct()
-    rows = named.join(kept, F.col("name").eqNullSafe(F.col("of")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("name")).distinct()
     rest = F.struct(*(F.col(c) for c in COLUMNS if c not in ("doc_id", "text")))  # rows that differ in these only: the least stays
-    one = rows.groupBy("name").agg(F.min(F.struct(rest.alias("rest"), "text")).alias("one"))
+    one = named.groupBy("name").agg(F.min(F.struct(rest.alias("rest"), "text")).alias("one")).join(kept, "name", "left_semi")
     return one.select(F.col("name.doc_id").alias("doc_id"), F.col("one.text").alias("text"), *(f"one.rest.{c}" for c in COLUMNS if c not in ("doc_id", "text"))).select(*COLUMNS)
 
 

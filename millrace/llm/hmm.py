@@ -10,12 +10,12 @@ next, so that every training document counts alike. Scoring is the scaled forwar
 likelihood, no sampling, no cut texts.
 
 Plan: word counts are summed map-side and by shuffle over all training documents. The TOP most frequent words
-are broadcast with their counts, words of over LONG bytes by a digest: a fixed bound. Training documents are
-turned into class numbers once, two bytes a token, and written; an iteration reads those. The scoring pass
-reads each document once and emits a head row and one row for each of its other distinct words, which get
-their counts by a shuffled join on the word; such words are rare by choice, so no key is hot. Documents of
-like length run side by side as arrays, longest first. What returns to the driver is (OWN + RARE) x STATES
-sums an iteration.
+are broadcast with their counts, words of over LONG bytes by a digest: a fixed bound. Documents are turned
+into numbers once and written: class numbers, two bytes a token, and the other distinct words; an iteration
+and the scoring read those and no text. For scoring, a document is a head row and one row for each of its
+other words, which get their counts by a shuffled join on the word; such words are rare by choice, so no key
+is hot. Documents of like length run side by side as arrays, longest first. What returns to the driver is
+(OWN + RARE) x STATES sums an iteration.
 
 Cases: null and empty texts are the end alone; ids may repeat or be null: equal rows are scored once and
 returned as often as they stand; an id that is null is not held out; without training tokens base_score
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, discard, frugal, held_out, only, read, stash, texts
+from millrace.llm.common import batches, frugal, held_out, only, read, stash, texts
 
-STATES, OWN, RARE, TOP, LONG, WARM, FULL, KEEP, SEED = 8, 8192, 4096, 200_000, 64, 4, 2, 0.5, 7
+STATES, OWN, RARE, TOP, LONG, WARM, FULL, KEEP, SEED = 8, 8192, 4096, 200_000, 64, 2, 2, 0.5, 7
 #: Tokens that are handled side by side, and the lengths at which documents part ways.
-TOGETHER, LENGTHS = 1 << 18, (600, 3000)
+TOGETHER, LENGTHS = 1 << 20, (600, 2400, 9600)
 #: Letters of text after which a task passes on the words that it has counted.
 FLUSH = 32 << 20
 END = ""
@@ -107,9 +107,10 @@ class Vocabulary:
     def lookup(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
         at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        for i in np.flatnonzero(at < 0).tolist():
-            if len(words[i]) > LONG:
-                at[i] = get(short(words[i]), -1)
+        if words and max(map(len, words)) > LONG:
+            for i, w in enumerate(words):
+                if len(w) > LONG:
+                    at[i] = get(short(w), -1)
         return at
 
     def class_of(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
@@ -118,8 +119,9 @@ class Vocabulary:
         if len(words):
             known = at >= 0
             out[:-1][known] = self.classes[at[known]]
-            for i in np.flatnonzero(~known).tolist():
-                out[i] = self.rare_class(words[i])
+            rest = np.flatnonzero(~known)
+            first = 1 + self.own
+            out[rest] = [first + zlib.crc32(words[i]) % RARE for i in rest.tolist()]
         return out
 
 
@@ -236,34 +238,54 @@ def together(items):
     yield from filter(None, held)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """shard, classes: the class numbers of each document with a column text; documents are dealt in turn."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, ends: int, shards: int) -> DataFrame:
+    """docs (doc_id, held_out, text) as numbers, one row each: doc_id, held_out; key, equal for equal rows;
+    shard, dealt in turn; classes, the class numbers of all tokens; n_tokens; and of the tokens that are among
+    the top words n_known, base and model, what they add to both scores; rest, the other words and how often."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    end = float(np.log10((ends + 1) / vocabulary.whole))
+    rest_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
 
     def run(source):
         v, n = shared.value, 0
         for batch in batches(source):
-            classes = []
-            for text in texts(batch.column(0)):
+            classes, sizes, known, base, model, words_, tfs, ends_at = [], [], [], [], [], [], [], [0]
+            for text in texts(batch.column(2)):
                 words = tokens(text)
-                classes.append(v.class_of(words, v.lookup(words)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array((n + np.arange(len(classes))) % shards, pa.int32()), pa.array(classes, pa.binary())], ["shard", "classes"])
-            n += len(classes)
+                at = v.lookup(words)
+                top, rest = at[at >= 0], Counter([words[k] for k in np.flatnonzero(at < 0).tolist()])
+                classes.append(v.class_of(words, at).astype("<u2").tobytes())
+                sizes.append(len(words) + 1)
+                known.append(len(top) + (ends > 0))
+                base.append(end + float(v.base[top].sum()))
+                model.append(float(v.emit[top].sum()))
+                words_ += [w.decode("utf-8", "replace") for w in rest]
+                tfs += rest.values()
+                ends_at.append(len(tfs))
+            pairs = pa.StructArray.from_arrays([pa.array(words_, pa.string()), pa.array(tfs, pa.int64())], ["word", "tf"])
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array((n + np.arange(len(sizes))) % shards, pa.int32()), pa.array(classes, pa.binary())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs).cast(rest_type)], [x.split()[0] for x in ENCODED.split(", ")])
+            n += len(sizes)
 
     assert 1 + vocabulary.own + RARE <= 1 << 16
-    return docs.select("text").mapInArrow(frugal(run), "shard int, classes binary")
+    keyed = docs.select("doc_id", "held_out", "text", F.xxhash64("text", "held_out").alias("key"))
+    return keyed.mapInArrow(frugal(run), ENCODED)
+
 
+ENCODED = "doc_id long, held_out boolean, key long, shard int, classes binary, n_tokens long, n_known long, base double, model double, rest array<struct<word:string,tf:long>>"
 
-def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, warm: int = WARM, full: int = FULL) -> Model:
-    """docs: text, only those that may teach."""
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, ends: int, warm: int = WARM, full: int = FULL) -> Model:
+    """encoded: shard, classes, only of those that may teach."""
     own = vocabulary.own
     unigrams = np.zeros(1 + own + RARE)
     unigrams[0] = ends
     np.add.at(unigrams, vocabulary.classes[:own], vocabulary.c[:own])
     unigrams[1 + own :] = vocabulary.n
     unigrams = (unigrams + 1) / (unigrams + 1).sum()
-    model, sc = Model.begin(unigrams), docs.sparkSession.sparkContext
-    encoded, names = stash(encode(docs, vocabulary, max(1, warm))), [f"s{k}" for k in range(STATES)]
+    model, sc = Model.begin(unigrams), encoded.sparkSession.sparkContext
+    names = [f"s{k}" for k in range(STATES)]
 
     def counted(part: DataFrame, model: Model) -> np.ndarray:
         """Expected counts of starts, moves and emissions of these documents, one below the other."""
@@ -293,46 +315,40 @@ def train(docs: DataFrame, vocabulary: Vocabulary, ends: int, warm: int = WARM,
         model = of(so_far)
     for _ in range(full):
         model = of(counted(encoded, model))
-    discard(encoded)
     return model
 
 
 HEAD = "doc_id long, held_out boolean, key long, word string, tf long, heads int, n_tokens long, n_known long, base double, model double"
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, ends: int, model: Model) -> DataFrame:
-    """docs: doc_id, held_out, text."""
-    sc = docs.sparkSession.sparkContext
-    shared, trained = sc.broadcast(vocabulary), sc.broadcast(model)
-    end = float(np.log10((ends + 1) / vocabulary.whole))
+def score(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
+    """encoded: as encode gives it, stashed."""
+    sc = encoded.sparkSession.sparkContext
+    learned, trained = vocabulary.total > 0, sc.broadcast(model)
 
     def run(source):
-        v, m = shared.value, trained.value
+        m = trained.value
 
         def items():
             for batch in batches(source):
-                who = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                for one, text in zip(who, texts(batch.column(2)), strict=True):
-                    words = tokens(text)
-                    at = v.lookup(words)
-                    rest = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()])
-                    yield len(words) + 1, one, at[at >= 0], rest, v.class_of(words, at)
+                yield from ((len(x[3]) // 2, *x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
         for held in together(items()):
-            logs = m.log10(Lanes([x[-1] for x in held])) if v.total else np.zeros(len(held))
-            rows = []
-            for (size, who, top, rest, _), log in zip(held, logs.tolist(), strict=True):
-                head = (1, size, len(top) + (ends > 0), end + float(v.base[top].sum()), log + float(v.emit[top].sum()))
-                rows.append((*who, f" {who[0]} {who[2]}", 0, *head))  # no token has a space: such a row finds no count
-                rows += [(*who, w.decode("utf-8", "replace"), n, 0, 0, 0, 0.0, 0.0) for w, n in rest.items()]
-            for k in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000], strict=True), TYPES, strict=True)], NAMES)
-
-    seen = docs.select("doc_id", "held_out", "text", F.xxhash64("text", "held_out").alias("key")).mapInArrow(frugal(run), HEAD)
+            logs = m.log10(Lanes([np.frombuffer(x[4], "<u2").astype(np.int32) for x in held])) if learned else np.zeros(len(held))
+            n = len(held)
+            ids, out, keys, _, known, base, emit = zip(*(x[1:] for x in held), strict=True)
+            words = [f" {i} {k}" for i, k in zip(ids, keys, strict=True)]  # no token has a space: such a row finds no count
+            columns = (ids, out, keys, words, [0] * n, [1] * n, [x[0] for x in held], known, base, (logs + np.array(emit)).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
+
+    heads = encoded.select("doc_id", "held_out", "key", "classes", "n_known", "base", "model").mapInArrow(frugal(run), HEAD)
+    others = encoded.select("doc_id", "held_out", "key", F.inline("rest"))
+    zero = {"heads": F.lit(0), "n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base": F.lit(0.0), "model": F.lit(0.0)}
+    seen = heads.union(others.withColumns(zero).select(*NAMES))
     whole = pd.DataFrame({"of": np.arange(RARE), "class_whole": vocabulary.n + vocabulary.v + 1})
     known = counts.withColumnsRenamed({"word": "counted", "c": "seen"}).hint("shuffle_hash")
     rows = seen.join(known, F.col("word") == F.col("counted"), "left")
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(whole, "of int, class_whole double")), F.crc32(F.col("word").cast("binary")) % RARE == F.col("of"))
+    rows = rows.join(F.broadcast(encoded.sparkSession.createDataFrame(whole, "of int, class_whole double")), F.crc32(F.col("word").cast("binary")) % RARE == F.col("of"))
     c = F.coalesce(F.col("seen"), F.lit(0))
     total = rows.groupBy("doc_id", "held_out", "key").agg(
         F.sum("heads").alias("heads"),
@@ -343,7 +359,6 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, ends: int,
         F.sum(F.col("model") + F.col("tf") * F.log10((c + 1) / F.col("class_whole"))).alias("model"),
     )
     each = lambda x: F.col(x) / F.col("heads")  # noqa: E731  equal rows are summed together
-    learned = F.lit(vocabulary.total > 0)
     one = total.select(
         "doc_id",
         "held_out",
@@ -351,7 +366,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, ends: int,
         each("n_known").cast("long").alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         each("base").alias("base_score"),
-        F.when(learned, each("model")).otherwise(0.0).alias("score"),
+        F.when(F.lit(learned), each("model")).otherwise(0.0).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("heads").cast("int"))).alias("copy"),
     )
     return one.drop("copy")
@@ -366,7 +381,8 @@ def score_all(docs: DataFrame, top: int = TOP, own: int = OWN) -> DataFrame:
     teach = docs.filter("NOT held_out")
     counts = stash(count_tokens(teach))
     vocabulary, ends = learn_vocabulary(counts, top, own)
-    return score(docs, counts, vocabulary, ends, train(teach, vocabulary, ends))
+    encoded = stash(encode(docs, vocabulary, ends, max(1, WARM)))
+    return score(encoded, counts, vocabulary, train(encoded.filter("NOT held_out"), vocabulary, ends))
 
 
 def query(spark, sf_dir):

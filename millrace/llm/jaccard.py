@@ -22,8 +22,8 @@ is not compared again.
 Plan: exact copies are folded by digest with partial aggregation before anything else, so a group of copies
 costs one row a task. Tries are sorted by ranges of (tree, signature, class), so that a prefix that a third
 of all texts share is spread over tasks; a run that goes on in the next task is tied by the tasks' first and
-last rows, the only rows that come to the driver. Texts are read twice; the second time only candidates'
-texts are shuffled. Joining ties is the alternation of large-star and small-star, each round cut by a written
+last rows, the only rows that come to the driver. Texts are read twice and never shuffled: the second
+time a filter of fixed size picks the candidates', whose shingle sets go on. Joining ties is the alternation of large-star and small-star, each round cut by a written
 table, so that Spark can split a node with very many ties; tables of earlier rounds are deleted.
 
 Shingles: n words that follow one another, as they stand; a text of fewer words is one shingle of them all.
@@ -48,6 +48,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from millrace.llm.common import Bounded, batches, discard, frugal, only, read, stash, texts
 
 N, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, SEED = 5, 0.8, 32, 10, 0.9999, 192, 11
+#: Bits of the filter that picks candidates' texts: 16 MB.
+FILTER = 1 << 27
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 
 
@@ -322,23 +324,38 @@ def verify(sets: DataFrame, similarity: float, level: int) -> DataFrame:
     return together.mapInArrow(frugal(run), "class binary, links long, missed double, tie binary")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """class, shingles of documents with a column text, one row each class."""
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each id of the one column: FILTER bits, however many ids there are."""
+    hashed = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER)).cast("int").alias("h"))
+    words = hashed.selectExpr("h div 32 AS word", "shiftleft(1L, h % 32) AS bit")
+    found, out = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow(), np.zeros(FILTER // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """class, shingles, one row each class, of documents whose id is among ids, and a few whose hash is."""
+    of = docs.sparkSession.sparkContext.broadcast(marks(ids))
 
     def run(source):
         known = Hashes()
         for batch in batches(source):
-            sets = [shingles(t, n, known).tobytes() for t in texts(batch.column(0))]
+            h = batch.column(0).to_numpy()
+            some = batch.column(1).filter(pa.array((of.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
+            sets = [shingles(t, n, known).tobytes() for t in texts(some)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    return docs.select("text").mapInArrow(frugal(run), "class binary, shingles binary").dropDuplicates(["class"])
+    hashed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("h"), "text")
+    return hashed.mapInArrow(frugal(run), "class binary, shingles binary").dropDuplicates(["class"])
 
 
 def climb(ties: DataFrame, sets: DataFrame, similarity: float, recall: float, levels: list[int], block: int) -> DataFrame:
     """class, links, missed, tie of all classes with links; sets: class, members, shingles of all that are tied."""
     found = groups = None
-    for level in levels:
-        known, of = groups, components(ties.filter(F.col("level") >= level))
+    there = {r["level"] for r in ties.select("level").distinct().collect()}
+    for level in [x for x in levels if x in there] or levels[-1:]:
+        new = ties.filter(F.col("level") == level).select("a", "b")
+        known, of = groups, components(new if groups is None else new.union(groups))
         groups = stash(of.union(of.select(F.col("root").alias("node"), "root").distinct()))
         sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
         if known is not None:
@@ -371,10 +388,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     ties = stash(tie(classes.select("class", "signature"), levels))
     tied = ties.select(F.col("a").alias("class")).union(ties.select("b")).distinct()
     wanted = stash(tied.join(classes.select("class", "class_id", "members"), "class"))
-    # the rows with the smallest ids of candidate classes bring the texts; other rows of such an id fall out in the last join
-    bearers = wanted.select("class_id").distinct()
-    named = docs.select("doc_id", "text").join(bearers, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
-    sets = stash(shingle_sets(named, n).join(wanted.select("class", "members"), "class"))
+    # the rows with the smallest ids of candidate classes bring the texts; whatever else comes falls out in the join
+    sets = stash(shingle_sets(docs, wanted.select("class_id"), n).join(wanted.select("class", "members"), "class"))
     found = climb(ties, sets, similarity, recall, levels, block)
     discard(sets)
     links = found.groupBy("class").agg(F.sum("links").alias("links"))

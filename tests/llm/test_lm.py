@@ -87,7 +87,8 @@ def test_training_is_baum_welch_over_all_documents(spark):
     docs = [(f"the cat {'sat' if i % 3 else 'ran'} on mat{i % 5} " * (1 + i % 4),) for i in range(60)]
     df = spark.createDataFrame(docs, "text string").repartition(5)
     v, ends = hmm.learn_vocabulary(hmm.count_tokens(df), top=100, own=50)
-    got = hmm.train(df, v, ends, warm=0, full=3)
+    docs_ = df.select(F.lit(1).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    got = hmm.train(hmm.encode(docs_, v, ends, 1), v, ends, warm=0, full=3)
     unigrams = np.zeros(1 + 50 + hmm.RARE)
     unigrams[0] = ends
     np.add.at(unigrams, v.classes[:50], v.c[:50])
