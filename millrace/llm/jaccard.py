@@ -14,7 +14,7 @@ of the least similarity reaches the recall, so a link of an unsettled document i
 
 Pairs are never rows. Documents under one prefix are tied to the first of them, one row each; connected
 ties form candidate groups, which hold every candidate pair. A group's shingle sets meet in blocks of about
-BLOCK documents: each pair of blocks is one small task that intersects sets as matrix products and keeps,
+BLOCK documents and FULL shingles at most: each pair of blocks is one small task that intersects sets as matrix products and keeps,
 for each document, the number of its links, and one tie for each linked part. The ties, joined again, are
 the groups of linked documents. A group that a shorter prefix leaves as it was, or in which all are settled,
 is not compared again.
@@ -47,7 +47,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from millrace.llm.common import Bounded, batches, discard, frugal, only, read, stash, texts
 
-N, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, SEED = 5, 0.8, 32, 10, 0.9999, 192, 11
+N, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, FULL, SEED = 5, 0.8, 32, 10, 0.9999, 512, 1 << 20, 11
 #: Bits of the filter that picks candidates' texts: 16 MB.
 FILTER = 1 << 27
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
@@ -219,7 +219,7 @@ def walk(classes: DataFrame, levels: list[int]) -> DataFrame:
 
 
 def tie(classes: DataFrame, levels: list[int]) -> DataFrame:
-    """a, b, level: ties that connect, with those of longer levels, whatever shares a prefix of that level."""
+    """a, b, level: ties that connect, with those of longer levels, whatever shares a prefix of that level; a written table."""
     walked = stash(walk(classes, levels))
     ends, over = sorted((r["part"], -r["level"], r["tree"], bytes(r["key"]), bytes(r["a"])) for r in walked.filter("level < 0").collect()), []
     for one, two in zip(ends[1::2], ends[2::2], strict=False):  # the last row of a task and the first of the next
@@ -227,7 +227,9 @@ def tie(classes: DataFrame, levels: list[int]) -> DataFrame:
         n = int(shared(keys, np.array([one[2], two[2]]))[0])
         over += [(one[4], two[4], level) for level in levels if n >= level][:1]
     more = classes.sparkSession.createDataFrame(over, "a binary, b binary, level int")
-    return walked.filter("level > 0").select("a", "b", "level").union(more)
+    ties = stash(walked.filter("level > 0").select("a", "b", "level").union(more))
+    discard(walked)
+    return ties
 
 
 class Bunch:
@@ -251,17 +253,23 @@ def compare(bunch: Bunch, same: bool, similarity: float):
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     edges = np.searchsorted(at, np.arange(0, width + 8192, 8192))
+    side = np.zeros(n) if same else np.array(bunch.sides)
+    mine, theirs = (slice(None), slice(None)) if same else (np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0]))
+    across = np.zeros((len(side[mine]), len(side[theirs])), np.float32)
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):  # exact: counts stay below 2^24 a slab
         dense = np.zeros((n, 8192), np.float32)
         dense[owner[lo:hi], at[lo:hi] - i * 8192] = 1
-        both += dense @ dense.T
+        across += dense[mine] @ dense[theirs].T
+    if same:
+        both = across
+    else:
+        both[np.ix_(mine, theirs)], both[np.ix_(theirs, mine)] = across, across.T
     shared = both.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - shared
     alike = shared / union
     linked = alike >= similarity
     np.fill_diagonal(linked, False)
     if not same:
-        side = np.array(bunch.sides)
         linked &= side[:, None] != side[None, :]
     return linked, alike
 
@@ -334,7 +342,7 @@ def marks(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """class, shingles, one row each class, of documents whose id is among ids, and a few whose hash is."""
+    """class, shingles, size, one row each class, of documents whose id is among ids, and a few whose hash is."""
     of = docs.sparkSession.sparkContext.broadcast(marks(ids))
 
     def run(source):
@@ -343,30 +351,32 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             h = batch.column(0).to_numpy()
             some = batch.column(1).filter(pa.array((of.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
             sets = [shingles(t, n, known).tobytes() for t in texts(some)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32())], ["class", "shingles", "size"])
 
     hashed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("h"), "text")
-    return hashed.mapInArrow(frugal(run), "class binary, shingles binary").dropDuplicates(["class"])
+    return hashed.mapInArrow(frugal(run), "class binary, shingles binary, size int").dropDuplicates(["class"])
 
 
 def climb(ties: DataFrame, sets: DataFrame, similarity: float, recall: float, levels: list[int], block: int) -> DataFrame:
-    """class, links, missed, tie of all classes with links; sets: class, members, shingles of all that are tied."""
+    """class, links, missed, tie of all classes with links; sets: class, members, shingles, size of all that are tied."""
     found = groups = None
     there = {r["level"] for r in ties.select("level").distinct().collect()}
     for level in [x for x in levels if x in there] or levels[-1:]:
         new = ties.filter(F.col("level") == level).select("a", "b")
-        known, of = groups, components(new if groups is None else new.union(groups))
-        groups = stash(of.union(of.select(F.col("root").alias("node"), "root").distinct()))
-        sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+        known, of = groups, components(new if groups is None else new.union(groups.select("node", "root")))
+        of = of.union(of.select(F.col("root").alias("node"), "root").distinct())
+        groups = stash(of.join(sets.select(F.col("class").alias("node"), "size"), "node"))
+        sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("whole"))
         if known is not None:
             # a group goes on if it is not what it was before, and somebody in it is not settled
             enough = found.groupBy("class").agg(F.sum("links").alias("links"), F.sum("missed").alias("missed"))
             settled = enough.filter(F.col("missed") <= (1 - recall) * F.col("links")).select(F.col("class").alias("node"), F.lit(1).alias("settled"))
-            state = groups.join(known.withColumnRenamed("root", "was"), "node", "left").join(settled, "node", "left")
+            state = groups.join(known.select("node", F.col("root").alias("was")), "node", "left").join(settled, "node", "left")
             grown = (F.count("was") < F.count("*")) | (F.min("was") != F.max("was"))
-            open_ = state.groupBy("root").agg(grown.alias("grown"), F.count("settled").alias("settled"), F.count("*").alias("n"))
-            sizes = open_.filter("grown AND settled < n").select("root", "n")
-        wanted = stash(groups.join(sizes, "root").select(F.col("node").alias("class"), "root", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+            open_ = state.groupBy("root").agg(grown.alias("grown"), F.count("settled").alias("settled"), F.count("*").alias("n"), F.sum("size").alias("whole"))
+            sizes = open_.filter("grown AND settled < n").select("root", "n", "whole")
+        blocks = F.ceil(F.greatest(F.col("n") / block, F.col("whole") / FULL)).cast("int")
+        wanted = stash(groups.join(sizes, "root").select(F.col("node").alias("class"), "root", blocks.alias("blocks")))
         got = stash(verify(sets.join(wanted, "class"), similarity, level))
         if found is not None:
             old, found = found, stash(found.join(wanted.select("class"), "class", "left_anti").union(got))
@@ -374,6 +384,7 @@ def climb(ties: DataFrame, sets: DataFrame, similarity: float, recall: float, le
         else:
             found = got
         discard(wanted)
+    discard(groups)
     return found
 
 
@@ -384,14 +395,17 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     links connect. n_links: how many other rows have a similarity of at least ``similarity``."""
     levels = levels_for(similarity, recall)
     signed = stash(sign(docs, n))
-    classes = stash(signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("signature").alias("signature")))
-    ties = stash(tie(classes.select("class", "signature"), levels))
+    full = stash(signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("signature").alias("signature")))
+    rows, classes = stash(signed.select("doc_id", "class")), stash(full.drop("signature"))
+    discard(signed)  # signatures are most of it
+    ties = tie(full.select("class", "signature"), levels)
+    discard(full)
     tied = ties.select(F.col("a").alias("class")).union(ties.select("b")).distinct()
     wanted = stash(tied.join(classes.select("class", "class_id", "members"), "class"))
     # the rows with the smallest ids of candidate classes bring the texts; whatever else comes falls out in the join
     sets = stash(shingle_sets(docs, wanted.select("class_id"), n).join(wanted.select("class", "members"), "class"))
     found = climb(ties, sets, similarity, recall, levels, block)
-    discard(sets)
+    discard(sets, ties, wanted)
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("class").alias("a"), F.col("tie").alias("b")))
     names = classes.select(F.col("class").alias("node"), "class_id")
@@ -400,7 +414,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     labels = parts.union(parts.select(F.col("root").alias("node"), "root").distinct()).join(least, "root").select(F.col("node").alias("class"), "group_id")
     # written, so that the last join has a plain shuffle on both sides and Spark can split a class with many members
     whole = stash(classes.select("class", "class_id", "members").join(links, "class", "left").join(labels, "class", "left"))
-    rows = signed.select("doc_id", "class").join(whole, "class", "left")
+    rows = rows.join(whole, "class", "left")
     alone = F.col("class").isNull()
     return rows.select(
         "doc_id",
