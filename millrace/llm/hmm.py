@@ -25,6 +25,7 @@ and score are both 0; extra columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -106,11 +107,10 @@ class Vocabulary:
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        if words and max(map(len, words)) > LONG:
-            for i, w in enumerate(words):
-                if len(w) > LONG:
-                    at[i] = get(short(w), -1)
+        at = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(at < 0).tolist():  # long words are there by what is short for them only
+            if len(words[i]) > LONG:
+                at[i] = get(short(words[i]), -1)
         return at
 
     def class_of(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
@@ -182,23 +182,20 @@ class Model:
         start, move = start + 1e-3, move + 1e-3
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def forward(self, lanes: Lanes, alphas: np.ndarray | None = None) -> np.ndarray:
-        """The scale of each active cell; alphas, if given, gets the scaled forward variables."""
-        scale, alpha = np.empty(len(lanes.classes)), None
+    def forward(self, lanes: Lanes) -> tuple[np.ndarray, np.ndarray]:
+        """The scale of each active cell, and the scaled forward variables."""
+        alphas, scale, ones, last = np.take(self.emit, lanes.classes, axis=0), np.empty(len(lanes.classes)), np.ones(len(self.start)), None
         for s in lanes.steps():
-            n = s.stop - s.start
-            x = self.emit[lanes.classes[s]]
-            alpha = x * (self.start if alpha is None else alpha[:n] @ self.move)
-            c = alpha.sum(axis=1)
+            alpha = alphas[s]
+            alpha *= self.start if last is None else last[: len(alpha)] @ self.move
+            c = np.matmul(alpha, ones, out=scale[s])
             alpha /= c[:, None]
-            scale[s] = c
-            if alphas is not None:
-                alphas[s] = alpha
-        return scale
+            last = alpha
+        return scale, alphas
 
     def log10(self, lanes: Lanes) -> np.ndarray:
         """The log10 likelihood of each sequence, in the order in which they were given."""
-        logs, sums = np.log10(self.forward(lanes)), np.zeros(len(lanes.order))
+        logs, sums = np.log10(self.forward(lanes)[0]), np.zeros(len(lanes.order))
         for s in lanes.steps():
             sums[: s.stop - s.start] += logs[s]
         out = np.empty_like(sums)
@@ -207,20 +204,20 @@ class Model:
 
     def expected(self, lanes: Lanes):
         """Expected counts of starts, moves and emissions."""
-        alphas = np.empty((len(lanes.classes), len(self.start)))
-        scale = self.forward(lanes, alphas)
-        move, beta, steps = np.zeros_like(self.move), np.ones((0, len(self.start))), lanes.steps()
-        for t in range(len(steps) - 1, -1, -1):
-            s = steps[t]
-            here = np.ones((s.stop - s.start, len(self.start)))
-            if t + 1 < len(steps):
-                ahead = steps[t + 1]
-                x = self.emit[lanes.classes[ahead]] * beta / scale[ahead][:, None]
-                n = len(x)
-                move += alphas[s][:n].T @ x
-                here[:n] = x @ self.move.T
-            beta = here
-            alphas[s] *= beta  # now the posterior
+        scale, alphas = self.forward(lanes)
+        ahead, betas, steps = np.take(self.emit, lanes.classes, axis=0), np.ones_like(alphas), lanes.steps()
+        ahead /= scale[:, None]
+        back = np.ascontiguousarray(self.move.T)
+        for before, s in zip(steps[-2::-1], steps[:0:-1], strict=True):
+            x = ahead[s]
+            x *= betas[s]
+            np.matmul(x, back, out=betas[before.start : before.start + len(x)])
+        first, move = steps[0].stop, np.zeros_like(self.move)
+        came = np.arange(first, len(alphas)) - np.repeat(np.diff(lanes.at)[:-1], np.diff(lanes.at)[1:])  # the same lane, a step before
+        for k in range(0, len(came), 1 << 14):
+            part = came[k : k + (1 << 14)]
+            move += alphas[part].T @ ahead[first + k : first + k + len(part)]
+        alphas *= betas  # now the posterior
         emit = np.stack([np.bincount(lanes.classes, alphas[:, k], len(self.emit)) for k in range(len(self.start))], axis=1)
         return alphas[steps[0]].sum(axis=0), move * self.move, emit
 
@@ -387,5 +384,3 @@ def score_all(docs: DataFrame, top: int = TOP, own: int = OWN) -> DataFrame:
 
 def query(spark, sf_dir):
     return score_all(only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("held_out", held_out("doc_id", 7, 2)))
-
-
