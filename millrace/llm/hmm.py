@@ -222,14 +222,14 @@ class Model:
         return alphas[steps[0]].sum(axis=0), move * self.move, emit
 
 
-def together(items):
-    """Lists of items (length, ...) of like length, with about TOGETHER tokens each."""
+def together(items, most: int = TOGETHER):
+    """Lists of items (length, ...) of like length, with about so many tokens each."""
     held, sizes = [[] for _ in range(len(LENGTHS) + 1)], [0] * (len(LENGTHS) + 1)
     for item in items:
         k = sum(item[0] > n for n in LENGTHS)
         held[k].append(item)
         sizes[k] += item[0]
-        if sizes[k] >= TOGETHER:
+        if sizes[k] >= most:
             yield held[k]
             held[k], sizes[k] = [], 0
     yield from filter(None, held)
@@ -291,7 +291,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, ends: int, warm: int = WAR
         def step(source):
             m, sums = now.value, None
             items = ((len(x) // 2, x) for batch in batches(source) for x in batch.column(0).to_pylist())
-            for held in together(items):
+            for held in together(items, TOGETHER // 2):  # training holds three arrays of them, scoring one
                 got = m.expected(Lanes([np.frombuffer(x, "<u2").astype(np.int32) for _, x in held]))
                 sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
             if sums is not None:
