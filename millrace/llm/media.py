@@ -7,7 +7,7 @@ patch's centroid and described by 256 comparisons of smoothed pixel pairs. Brigh
 Join: a descriptor is cut into 8 substrings of 32 bits, each a Hamming table; two descriptors within 7 bits
 share one for certain, farther ones often. Two features of different images that share a substring and differ
 in at most BITS bits of the one after it are tied, all of them, however many share a value. Image pairs with
-at least VOTES tied features go on to geometric consensus: each tie proposes a similarity (turn, scale, shift)
+at least VOTES tied features go on to geometric consensus, where by a bound enough features could agree: each tie proposes a similarity (turn, scale, shift)
 by its levels and angles, and with each tie that roughly fits it another by the two places, as levels are a
 fixed step apart and angles not exact. The pair is a copy if at least INLIERS distinct features agree with the
 best one within TOLERANCE pixels or REACH of the picture, whichever is more,
@@ -18,7 +18,9 @@ Plan: exact copies of the bytes are folded by digest first, with partial aggrega
 one pass and written, one row an image. Images are dealt by hash to blocks of about BLOCK features, and each
 pair of blocks is a task: a substring that a third of the features have is spread over all of them, and all
 ties of two images meet in one task, so that verified image pairs only leave it. A task halves its blocks
-until about PAIRS rows of the tables meet at once. Work grows with the pairs of features that share a
+until about PAIRS rows of the tables meet at once, and bounds all pairs of images of a part together: for each
+tie, the distinct features that roughly fit it, which are no fewer than those that can agree. Images that a task has joined by
+pairs before are not compared again, as groups need no more. Work grows with the pairs of features that share a
 substring, which is the square of how many do; rows shuffled are images times blocks.
 
 Media: binary PGM and PPM (P5, P6, 8 bits), and PNG of 8 bits without interlace, grey, RGB, with or without
@@ -30,6 +32,7 @@ of corners go to the upper left; extra columns are not read; an empty table give
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import zlib
@@ -44,7 +47,7 @@ from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
 SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, REACH, ROUGH, SEED = tuple(2 ** (-k / 4) for k in range(5)), 12, 4, 6, 3.0, 0.2, 0.01, 0.15, 5
-TABLES, BITS, BLOCK, PAIRS, SECTORS = 8, 8, 1 << 17, 1 << 21, 16
+TABLES, BITS, BLOCK, PAIRS, SECTORS, CHUNK = 8, 8, 1 << 17, 1 << 21, 16, 1 << 16
 
 
 #: Fixed value: the most that deflate makes of a byte.
@@ -175,36 +178,49 @@ def features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.packbits(np.concatenate(bits), axis=1).view(">u4").astype(np.int64)
 
 
-def agree(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE, least: int = 1, enough=lambda *found: False) -> tuple[int, complex, complex]:
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal values are together, and where each begins in it."""
+    order = np.argsort(values)
+    values = values[order]
+    return order, np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+
+
+def agree(a: np.ndarray, b: np.ndarray, tolerance: float = TOLERANCE, least: int = 1, enough=lambda *found: False, bound=None) -> tuple[int, complex, complex]:
     """The most distinct features of a and of b that one similarity takes onto each other, and its factor and
-    shift from b to a; rows are ties. Fewer than ``least`` may be told as 0; the first that is ``enough`` is taken."""
+    shift from b to a; rows are ties, and ``bound`` is the most that each can find. Fewer than ``least`` may be told
+    as 0; the first that is ``enough`` is taken."""
     turn, scale = a[:, 2] - b[:, 2], b[:, 3] / a[:, 3]
     best, w, z = (0, 1 + 0j, 0j), a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
     tolerance = max(tolerance, REACH * float(np.ptp(a[:, :2], axis=0).max()))
-    m = scale * np.exp(1j * turn)
-    for k in range(0, len(a), 256):
-        t, s = turn[k : k + 256, None], scale[k : k + 256, None]
-        dz, dw = z - z[k : k + 256, None], w - w[k : k + 256, None]
-        rough = np.abs(m[k : k + 256, None] * dz - dw) <= np.maximum(tolerance, ROUGH * np.abs(m[k : k + 256, None] * dz))
-        rough &= (np.abs(np.log(scale / s)) < 0.2) & (np.cos(turn - t) > 0.95)
+    m, levels = scale * np.exp(1j * turn), np.log(scale)
+    tried = np.arange(len(a)) if bound is None else np.flatnonzero(bound >= least)
+    for part in np.array_split(tried, -(-len(tried) // 256) or 1):
+        dz, dw = z - z[part, None], w - w[part, None]
+        put = m[part, None] * dz
+        rough = np.abs(put - dw) <= np.maximum(tolerance, ROUGH * np.abs(put))
+        rough &= (np.abs(levels - levels[part, None]) < 0.2) & (np.cos(turn - turn[part, None]) > 0.95)
         size = rough.sum(axis=1)
+        most = size if bound is None else np.minimum(size, bound[part])
         for row in np.argsort(-size):
             if size[row] <= best[0] or size[row] < least:
                 break
+            if most[row] <= best[0] or most[row] < least:
+                continue
             use = np.flatnonzero(rough[row])
             one, two = dz[row, use], dw[row, use]
             far = np.abs(one) > tolerance
-            proposed = np.r_[m[k + row], two[far] / one[far]]  # by the tie alone, and by it and each other one
+            proposed = np.append(m[part[row]], two[far] / one[far])  # by the tie alone, and by it and each other one
+            order, ends = zip(*(distinct(v[use]) for v in (w, z)), strict=True)
             for some in np.array_split(proposed, -(-len(proposed) * len(use) // (1 << 20))):
                 near = np.abs(some[:, None] * one - two) <= tolerance
                 count = near.sum(axis=1)
+                several = np.flatnonzero((count > best[0]) & (count >= least))
+                near, count = near[several], count[several]
+                n = np.minimum(*(np.logical_or.reduceat(near[:, o], e, axis=1).sum(axis=1) for o, e in zip(order, ends, strict=True)))
                 for i in np.argsort(-count):
-                    if count[i] <= best[0]:
-                        break
-                    n = min(len(np.unique(v[use[near[i]]])) for v in (w, z))
-                    if n > best[0]:
-                        best = n, some[i], w[k + row] - some[i] * z[k + row]
-                        if n >= least and enough(*best):
+                    if n[i] > best[0]:
+                        best = int(n[i]), some[several[i]], w[part[row]] - some[several[i]] * z[part[row]]
+                        if n[i] >= least and enough(*best):
                             return best
     return best
 
@@ -266,11 +282,13 @@ def tied(image: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray):
     if same and image[a[0]] == image[a[-1]]:
         return
     for t in range(TABLES):
-        order = np.argsort(words[b, t])
-        row = words[b[order], t]
-        low = np.searchsorted(row, words[a, t])
-        found.append((order, low, np.searchsorted(row, words[a, t], "right") - low))
-    if sum(int(n.sum()) for _, _, n in found) > PAIRS:
+        mine, order = (a[np.argsort(words[a, t])], b[np.argsort(words[b, t])])
+        key, row = words[mine, t], words[order, t]
+        low = np.searchsorted(row, key)
+        found.append((mine, order, low, np.searchsorted(row, key, "right") - low))
+    # a tie in one integer, in the order of its two images
+    wide = [int(x[-1] - x[0] + 1).bit_length() for x in (a, b)]
+    if sum(int(n.sum()) for *_, n in found) > PAIRS or int(image[a[-1]] - image[a[0]]).bit_length() + sum(wide) > 62:
         one, two = halves(image, a), halves(image, b)
         if same:
             yield from tied(image, words, one[0], one[0])
@@ -283,58 +301,152 @@ def tied(image: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray):
                 yield from tied(image, words, *((part, b) if split else (a, part)))
             return
     out = []
-    for t, (order, low, n) in enumerate(found):
-        i = np.repeat(a, n)
-        j = b[order[np.arange(len(i)) + np.repeat(low + n - np.cumsum(n), n)]]
-        near = image[i] < image[j] if same else image[i] != image[j]
-        i, j = i[near], j[near]
-        close = np.bitwise_count(words[i, (t + 1) % TABLES] ^ words[j, (t + 1) % TABLES]) <= BITS
-        out.append(i[close] * len(image) + j[close])
+    for t, (mine, order, low, n) in enumerate(found):
+        i = np.repeat(mine, n)
+        j = order[np.arange(len(i)) + np.repeat(low + n - np.cumsum(n), n)]
+        one, two = image[i], image[j]
+        other = words[:, (t + 1) % TABLES]
+        good = (one < two if same else one != two) & (np.bitwise_count(other[i] ^ other[j]) <= BITS)
+        i, j, one = i[good], j[good], one[good]
+        out.append((one - image[a[0]] << wide[1] | j - b[0]) << wide[0] | i - a[0])
     ties = np.sort(np.concatenate(out))
-    i, j = np.divmod(ties[np.r_[True, ties[1:] != ties[:-1]]] if len(ties) else ties, len(image))
-    order = np.argsort(image[i] * (image[-1] + 1) + image[j], kind="stable")
-    yield i[order], j[order]
-
-
-def hopeful(turn: np.ndarray, level: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
-    """The groups in which at least so many ties have a turn and a level that one consensus could take in."""
-    wide = (group[-1] + 1) * SECTORS
-    cell = group * SECTORS + np.floor(turn / (2 * np.pi) % 1 * SECTORS).astype(np.int64) % SECTORS
-    good = np.zeros(group[-1] + 1, bool)
-    for middle in np.unique(level):
-        n = np.bincount(cell[np.abs(level - middle) <= 1], minlength=wide).reshape(-1, SECTORS)
-        good |= (n + np.roll(n, 1, axis=1) + np.roll(n, -1, axis=1)).max(axis=1) >= least
-    return np.flatnonzero(good)
-
-
-def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.ndarray, votes: int, inliers: int):
-    """Pairs of images, by number, that consensus verifies; of two sides only those across."""
+    ties = ties[np.r_[True, ties[1:] != ties[:-1]]] if len(ties) else ties
+    yield (ties & (1 << wide[0]) - 1) + a[0], (ties >> wide[0] & (1 << wide[1]) - 1) + b[0]
+
+
+def crowded(turn: np.ndarray, level: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """The ties that have at least so many, with themselves, of a turn and a level that one consensus could take in."""
+    steps = 2 * len(SCALES) + 1
+    cell = (group * steps + level + len(SCALES)) * SECTORS + np.floor(turn / (2 * np.pi) % 1 * SECTORS).astype(np.int64) % SECTORS
+    n = np.bincount(cell, minlength=(group[-1] + 1) * steps * SECTORS).astype(np.int32).reshape(-1, steps, SECTORS)
+    n = n + np.roll(n, 1, axis=2) + np.roll(n, -1, axis=2)
+    n[:, 1:-1] = n[:, :-2] + n[:, 1:-1] + n[:, 2:]
+    return n.reshape(-1)[cell] >= least
+
+
+def together(turn: np.ndarray, group: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ties by group, in parts whose turns are too far from other parts' for one consensus, and their parts."""
+    turn = turn / (2 * np.pi) % 1
+    order = np.argsort(group << 32 | (turn * (1 << 32)).astype(np.int64))
+    group, turn = group[order], turn[order]
+    change, apart = group[1:] != group[:-1], 0.051  # more than the turn whose cosine is 0.95
+    part = np.cumsum(np.append(0, change | (np.diff(turn) > apart)))
+    first = np.flatnonzero(np.append(True, change))
+    last = np.append(first[1:], len(turn)) - 1
+    name = np.arange(part[-1] + 1)
+    round_ = turn[first] + 1 - turn[last] <= apart
+    name[part[last[round_]]] = part[first[round_]]
+    part = name[part]
+    again = np.argsort(part, kind="stable")
+    return ties[order[again]], part[again]
+
+
+def hopeful(a: np.ndarray, b: np.ndarray, level: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """Of ties with places a and b, how many distinct features of a and of b roughly fit each, 0 for fewer than
+    least: a bound of what agree finds by it, for many pairs of images at a time, whose ties begin at first."""
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(a)]))
+    span = np.maximum.reduceat(a[:, :2], first) - np.minimum.reduceat(a[:, :2], first)
+    slack = (np.maximum(TOLERANCE, REACH * span.max(axis=1)) * 1.001) ** 2
+    turn, out = a[:, 2] - b[:, 2], np.zeros(len(a), np.int64)
+    left = np.flatnonzero(crowded(turn, level, group, least))
+    if not len(left):
+        return out
+    left, part = together(turn[left], group[left], left)
+    many = np.bincount(part)[part] >= least
+    left, part = left[many], part[many]
+    if not len(left):
+        return out
+    a, b, turn, level, group = a[left], b[left], turn[left], level[left], group[left]
+    spots = [np.rint(x[:, 0] * 8).astype(np.int64) << 20 | np.rint(x[:, 1] * 8).astype(np.int64) for x in (a, b)]
+    start = np.flatnonzero(np.r_[True, np.diff(part) != 0])
+    count = np.diff(np.r_[start, len(left)])
+    # places from the first tie's, for single precision; what it rounds is far less than what is added to slack
+    at = np.concatenate([a[:, :2], b[:, :2]], axis=1)
+    x, y, u, v = (at - np.repeat(at[start], count, axis=0)).T
+    scale, c, s = b[:, 3] / a[:, 3], np.cos(turn), np.sin(turn)
+    cs, ss, far = scale * c, scale * s, u * u + v * v
+    slack = slack[group[start]] + 4e-6 * np.maximum.reduceat(x * x + y * y + 4 * far, start)
+    rough, one = (ROUGH * 1.001 * scale) ** 2, np.ones(len(left))
+    # products of a row of one tie and a column of another: where its similarity puts it, how far, and cosine less levels
+    rows = (cs, -ss, -one, x - cs * u + ss * v), (ss, cs, -one, y - ss * u - cs * v), (-2 * rough * u, -2 * rough * v, rough, rough * far), (c, s, 0.034 * level, -0.017 * one, -0.017 * level**2)
+    columns = (u, v, x, one), (u, v, y, one), (u, v, far, one), (c, s, level, level**2, one)
+    factors = np.empty((len(left), 34), np.float32)
+    values = [v for part in (*rows, *columns) for v in part]
+    for k in range(0, len(left), 4096):  # as much as a processor's cache holds
+        for n, value in enumerate(values):
+            factors[k : k + 4096, n] = value[k : k + 4096]
+    ends = (0, 4, 8, 12, 17)
+    size = -(-count // 4) * 4
+    for k in np.unique(size):
+        pairs = np.flatnonzero(size == k)
+        if k > 512:  # such pairs are few and large: agree goes through them in parts
+            for g in pairs:
+                out[left[start[g] : start[g] + count[g]]] = count[g]
+            continue
+        for some in np.array_split(pairs, -(-len(pairs) * k * k // CHUNK)):
+            tie = start[some, None] + np.minimum(np.arange(k), count[some, None] - 1)
+            there = np.arange(k) < count[some, None]
+            f = factors.take(tie, axis=0)
+            dx, dy, reach, turned = (f[:, :, i:j] @ f[:, :, 17 + i : 17 + j].transpose(0, 2, 1) for i, j in itertools.pairwise(ends))
+            dx *= dx
+            dy *= dy
+            dx += dy
+            np.maximum(reach, slack[some, None, None].astype(np.float32), out=reach)
+            fits = dx <= reach
+            fits &= turned > np.float32(0.932)  # cosine over 0.95, level at most one step apart
+            fits &= there[:, None]
+            row = np.flatnonzero((fits.sum(axis=2, dtype=np.int16) >= least) & there)
+            if not len(row):
+                continue
+            n, q = np.nonzero(fits.reshape(-1, k)[row])
+            q = tie[row[n] // k, q]
+            most = np.full(len(row), k)
+            for spot in spots:
+                key = np.sort(n << 40 | spot[q])
+                key = key[np.r_[True, key[1:] != key[:-1]]]
+                most = np.minimum(most, np.bincount(key >> 40, minlength=len(row)))
+            out[left[tie.ravel()[row]]] = most * (most >= least)
+    return out
+
+
+def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.ndarray, votes: int, inliers: int, forest: bool = False):
+    """Pairs of images, by number, that consensus verifies; of two sides only those across; forest: of images
+    that the pairs found so far join, no more."""
     at, found = unfolded(place), []
     start = np.searchsorted(image, np.arange(image[-1] + 2))
     parts = [np.flatnonzero(sides == s) for s in np.unique(sides)]
+    root = np.arange(image[-1] + 1)  # the smallest number of those joined
     for i, j in tied(image, words, parts[0], parts[-1]):
         if not len(i):
             continue
         first = np.flatnonzero(np.r_[True, (np.diff(image[i]) != 0) | (np.diff(image[j]) != 0)])
         count = np.diff(np.r_[first, len(i)])
         many = count >= max(votes, inliers)
+        if forest:
+            many &= root[image[i[first]]] != root[image[j[first]]]
         if not many.any():
             continue
         use = np.repeat(many, count)
         i, j, count = i[use], j[use], count[many]
         first = np.cumsum(count) - count
-        group = np.repeat(np.arange(len(count)), count)
-        for g in hopeful(at[i, 2] - at[j, 2], (place[j] & 15) - (place[i] & 15), group, inliers):
-            x, y = (k[first[g] : first[g] + count[g]] for k in (i, j))
+        bound = hopeful(at[i], at[j], (place[j] & 15) - (place[i] & 15), first, inliers)
+        for g in np.flatnonzero(np.maximum.reduceat(bound, first)):
+            ties = slice(first[g], first[g] + count[g])
+            x, y = i[ties], j[ties]
+            if forest and root[image[x[0]]] == root[image[y[0]]]:
+                continue
             one, two = (at[start[image[v[0]]] : start[image[v[0]] + 1]] for v in (x, y))
             copy = lambda n, factor, shift, one=one, two=two: n >= inliers + SHARE * overlap(one, two, factor, shift)
-            if copy(*agree(at[x], at[y], least=inliers, enough=copy)):
+            if copy(*agree(at[x], at[y], least=inliers, enough=copy, bound=bound[ties])):
                 found.append((image[x[0]], image[y[0]]))
+                if forest:
+                    both = root[image[x[0]]], root[image[y[0]]]
+                    root[root == max(both)] = min(both)
     return found
 
 
-def verified(rows: DataFrame, votes: int, inliers: int, block: int = BLOCK) -> DataFrame:
-    """a, b: the pairs of images that are copies; rows as describe gives them."""
+def verified(rows: DataFrame, votes: int, inliers: int, block: int = BLOCK, forest: bool = False) -> DataFrame:
+    """a, b: the pairs of images that are copies, or as many as join the same groups; rows as describe gives them."""
     total = rows.agg(F.sum("n")).first()[0] or 1
     blocks = max(-(-total // block), min(8, -(-total // 4096)))  # some tasks also for few images
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("image"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -350,7 +462,7 @@ def verified(rows: DataFrame, votes: int, inliers: int, block: int = BLOCK) -> D
                 n = [len(p) // 8 for p in places]
                 image = np.repeat(np.arange(len(n)), n)
                 columns = np.frombuffer(b"".join(places), np.int64), np.frombuffer(b"".join(words), np.uint32).reshape(-1, TABLES)
-                found = [(names[x], names[y]) for x, y in alike(image, *columns, np.repeat(sides, n), votes, inliers)]
+                found = [(names[x], names[y]) for x, y in alike(image, *columns, np.repeat(sides, n), votes, inliers, forest)]
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -374,7 +486,7 @@ def copies(media: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> Data
     # images are few bytes for their work: a count of tasks of its own, which Spark does not lower by bytes
     tasks = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stash(describe(classes.select("image", "data").repartition(tasks, "image")))
-    parts = components(verified(rows, votes, inliers))
+    parts = components(verified(rows, votes, inliers, forest=True))
     parts = stash(parts.union(parts.select(F.col("root").alias("node"), "root").distinct()))
     names = classes.select("digest", "image", "class_id")
     least = parts.join(names, F.col("node") == F.col("image")).groupBy("root").agg(F.min("class_id").alias("least"))

@@ -154,3 +154,51 @@ def test_headers_that_promise_more_than_there_is():
     assert media.grey(head(2**31, 2**31) + chunk(b"IDAT", zlib.compress(b"\0"))) is None
     assert media.grey(head(2, 2) + chunk(b"IDAT", zlib.compress(b"\0" * 50_000_000))) is None
     assert media.grey(head(2, 1) + chunk(b"IDAT", zlib.compress(b"\0ab"))).tolist() == [[97.0, 98.0]]
+
+
+def mosaics(n, copied=()):
+    """Pictures of random mosaics, as the query's, and an edited copy of each of the copied."""
+    r = np.random.default_rng(9)
+    vectors = [list(r.normal(size=64)) for _ in range(n)]
+    return [media.grey(media.render(v, False)) for v in vectors] + [media.grey(media.render(vectors[i], True)) for i in copied]
+
+
+def columns(pictures):
+    found = [media.features(x) for x in pictures]
+    n = [len(f[0]) for f in found]
+    return np.repeat(np.arange(len(n)), n), np.concatenate([media.folded(f[0]) for f in found]), np.concatenate([f[1] for f in found]).astype(np.uint32)
+
+
+def test_few_pairs_of_unlike_pictures_go_to_consensus(monkeypatch):
+    image, place, words = columns(mosaics(40, (3, 17)))
+    calls, agree = [], media.agree
+    monkeypatch.setattr(media, "agree", lambda *a, **k: calls.append(1) or agree(*a, **k))
+    assert set(media.alike(image, place, words, 0 * image, media.VOTES, media.INLIERS)) == {(3, 40), (17, 41)}
+    assert len(calls) < 0.15 * 42 * 41 / 2  # nearly all of them, without a bound
+
+
+def test_the_bound_is_no_less_than_what_agrees():
+    far = np.kron(np.random.default_rng(1).integers(20, 220, (12, 12)), np.ones((9, 9)))
+    image, place, words = columns([*mosaics(12, (3, 5)), far, media.resize(far, 0.8), far[20:, 10:], np.rot90(far).copy()])
+    at, every, high = media.unfolded(place), np.arange(len(image)), 0
+    for i, j in media.tied(image, words, every, every):
+        first = np.flatnonzero(np.r_[True, (np.diff(image[i]) != 0) | (np.diff(image[j]) != 0)])
+        for shift in (0.0, 30000.0):  # far from the origin as well
+            move = np.array([shift, shift / 2, 0, 0])
+            bound = media.hopeful(at[i] + move, at[j] + move, (place[j] & 15) - (place[i] & 15), first, 4)
+            for x, y in zip(first, np.r_[first[1:], len(i)], strict=True):
+                n = media.agree(at[i[x:y]], at[j[x:y]], least=4)[0]
+                assert n < 4 or bound[x:y].max() >= n
+                assert media.agree(at[i[x:y]], at[j[x:y]], least=4, bound=bound[x:y])[0] == (n if n >= 4 else 0)
+                high += n >= 8
+    assert high >= 5
+
+
+def test_joined_images_are_not_compared_again(monkeypatch):
+    x = mosaics(1)[0]
+    image, place, words = columns([x * f + 3 for f in np.linspace(0.6, 1, 12)])
+    pairs = media.alike(image, place, words, 0 * image, media.VOTES, media.INLIERS)
+    calls, agree = [], media.agree
+    monkeypatch.setattr(media, "agree", lambda *a, **k: calls.append(1) or agree(*a, **k))
+    tree = media.alike(image, place, words, 0 * image, media.VOTES, media.INLIERS, forest=True)
+    assert len(pairs) == 66 and len(tree) == len(calls) == 11 and {v for p in tree for v in p} == set(range(12))
