@@ -47,7 +47,7 @@ from millrace.llm.common import batches, only, read, stash
 from millrace.llm.jaccard import components
 
 SCALES, PATCH, VOTES, INLIERS, TOLERANCE, SHARE, REACH, ROUGH, SEED = tuple(2 ** (-k / 4) for k in range(5)), 12, 4, 6, 3.0, 0.2, 0.01, 0.15, 5
-TABLES, BITS, BLOCK, PAIRS, SECTORS, CHUNK = 8, 8, 1 << 17, 1 << 21, 16, 1 << 16
+TABLES, BITS, BLOCK, PAIRS, SECTORS, TIES, CHUNK = 8, 8, 1 << 17, 1 << 21, 16, 1 << 15, 1 << 16
 
 
 #: Fixed value: the most that deflate makes of a byte.
@@ -376,7 +376,7 @@ def hopeful(a: np.ndarray, b: np.ndarray, level: np.ndarray, first: np.ndarray,
         for n, value in enumerate(values):
             factors[k : k + 4096, n] = value[k : k + 4096]
     ends = (0, 4, 8, 12, 17)
-    size = -(-count // 4) * 4
+    size = -(-count // 8) * 8
     for k in np.unique(size):
         pairs = np.flatnonzero(size == k)
         if k > 512:  # such pairs are few and large: agree goes through them in parts
@@ -429,7 +429,10 @@ def alike(image: np.ndarray, place: np.ndarray, words: np.ndarray, sides: np.nda
         use = np.repeat(many, count)
         i, j, count = i[use], j[use], count[many]
         first = np.cumsum(count) - count
-        bound = hopeful(at[i], at[j], (place[j] & 15) - (place[i] & 15), first, inliers)
+        bound = np.empty(len(i), np.int64)
+        for some in np.split(first, np.flatnonzero(np.diff(first // TIES)) + 1):  # what a cache holds, and little memory
+            k = slice(some[0], some[-1] + count[np.searchsorted(first, some[-1])])
+            bound[k] = hopeful(at[i[k]], at[j[k]], (place[j[k]] & 15) - (place[i[k]] & 15), some - some[0], inliers)
         for g in np.flatnonzero(np.maximum.reduceat(bound, first)):
             ties = slice(first[g], first[g] + count[g])
             x, y = i[ties], j[ties]
