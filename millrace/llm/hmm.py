@@ -6,7 +6,8 @@ a word has (c + 1) / (n + v + 1) of n training tokens and v distinct words, the
 any unseen word. States are trained by Baum-Welch: WARM passes over a part each (expected counts under the
 latest parameters, added to the halved counts so far) only bring the states apart; then FULL iterations follow,
 each with the expected counts of all training documents under one set of parameters, and nothing else in the
-next, so that every training document counts alike. Scoring is the scaled forward recursion: exact sequence
+next, so that every training document counts alike. A class gets one more token, dealt to the states as all
+tokens are, so that what was seen a few times is not fitted to one state. Scoring is the scaled forward recursion: exact sequence
 likelihood, no sampling, no cut texts.
 
 Plan: word counts are summed map-side and by shuffle over all training documents. The TOP most frequent words
@@ -177,8 +178,12 @@ class Model:
 
     @classmethod
     def of(cls, start, move, emit, unigrams: np.ndarray):
-        """From expected counts; a little of the unigrams keeps every class possible."""
-        emit = emit + 1e-3 * unigrams[:, None] * emit.sum(axis=0) + 1e-9
+        """From expected counts, with one more token of each class that they hold, dealt to the states as all
+        tokens are, so that a class seen a few times hardly tells them apart; a little of the unigrams keeps
+        every class possible."""
+        mass = emit.sum(axis=0)
+        dealt = np.minimum(emit.sum(axis=1), 1)[:, None] * mass / max(mass.sum(), 1e-9)
+        emit = emit + dealt + 1e-3 * unigrams[:, None] * mass + 1e-9
         start, move = start + 1e-3, move + 1e-3
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 

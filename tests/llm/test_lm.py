@@ -108,3 +108,12 @@ def test_documents_of_like_length_run_together():
     groups = list(hmm.together(iter(items)))
     assert sorted(x for g in groups for x in g) == sorted(items)
     assert all(len({sum(n > k for k in hmm.LENGTHS) for n, _ in g}) == 1 for g in groups)
+
+
+def test_a_class_seen_once_hardly_tells_states_apart():
+    emit = np.array([[300.0, 100.0], [1.0, 0.0], [0.0, 0.0]])
+    m = hmm.Model.of(np.ones(2), np.ones((2, 2)), emit, np.array([0.9, 0.05, 0.05]))
+    assert np.allclose(m.emit.sum(axis=0), 1)
+    assert 1 < m.emit[1, 0] / m.emit[1, 1] < 4 and 0.9 < m.emit[2, 0] / m.emit[2, 1] < 1.1
+    none = hmm.Model.of(np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), np.full(3, 1 / 3))
+    assert np.allclose(none.emit, 1 / 3)
