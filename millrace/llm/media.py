@@ -326,7 +326,7 @@ def crowded(turn: np.ndarray, level: np.ndarray, group: np.ndarray, least: int)
 
 def together(turn: np.ndarray, group: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ties by group, in parts whose turns are too far from other parts' for one consensus, and their parts."""
-    turn = turn / (2 * np.pi) % 1
+    turn = turn / (2 * np.pi) % 1 % 1  # a little under 0 is 1 after the first
     order = np.argsort(group << 32 | (turn * (1 << 32)).astype(np.int64))
     group, turn = group[order], turn[order]
     change, apart = group[1:] != group[:-1], 0.051  # more than the turn whose cosine is 0.95

@@ -202,3 +202,9 @@ def test_joined_images_are_not_compared_again(monkeypatch):
     monkeypatch.setattr(media, "agree", lambda *a, **k: calls.append(1) or agree(*a, **k))
     tree = media.alike(image, place, words, 0 * image, media.VOTES, media.INLIERS, forest=True)
     assert len(pairs) == 66 and len(tree) == len(calls) == 11 and {v for p in tree for v in p} == set(range(12))
+
+
+def test_turns_around_nought_stay_together():
+    turn, group = np.array([0.0, 3.0, -1e-18, 0.1, -0.2, 3.1, 6.2, 0.0]), np.array([1, 1, 1, 1, 1, 1, 1, 0])
+    ties, part = media.together(turn, group, np.arange(8))
+    assert sorted(sorted(ties[part == p].tolist()) for p in np.unique(part)) == [[0, 2, 3, 4, 6], [1, 5], [7]]
